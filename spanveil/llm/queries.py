@@ -7,13 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import content_sort, mixing, url_rules
+from spanveil.llm import content_sort, mixing, packing, tokens, url_rules, warc
+from spanveil.llm.scratch import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path)
+    head = lambda name: warc.header(F.col("headers"), name)
+    number = lambda name: F.regexp_extract(head(name), r"page:(-?\d+)>", 1).try_cast("long")
+    revisit = head("WARC-Type") == "revisit"
+    return records.select(
+        number("WARC-Record-ID").alias("page_id"),
+        F.when(revisit, head("WARC-Payload-Length").cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index(head("WARC-Payload-Digest"), ":", -1)).otherwise(F.sha1("payload")).alias("payload_digest"),
+        head("WARC-Type").alias("record_type"),
+        number("WARC-Refers-To").alias("refers_to"),
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
+
+
+def op9_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
 #: (host, path, verdict); fixed values of the query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -32,12 +64,20 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_chain": op1_warc_chain,
+    "op3_token_counts": op3_token_counts,
     "op6_url_rules": op6_url_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_content_sort": op8_content_sort,
+    "op9_pack_tiers": op9_pack_tiers,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc_chain": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT page_id, b, CASE WHEN octet_length(b) >= 1000 THEN max(page_id) OVER (PARTITION BY b) ELSE page_id END AS r FROM p)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest,
+  CASE WHEN r = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r <> page_id THEN r END AS refers_to FROM g""",
     "op6_url_rules": r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import content_sort, mixing, packing, tokens, url_rules, warc
+from spanveil.llm import content_sort, mixing, neighbours, packing, tokens, url_rules, warc
 from spanveil.llm.scratch import new_path
 
 
@@ -37,6 +37,10 @@ def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0, k=10)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
 
@@ -65,6 +69,7 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chain": op1_warc_chain,
+    "op2_one_bit_codes": op2_one_bit_codes,
     "op3_token_counts": op3_token_counts,
     "op6_url_rules": op6_url_rules,
     "op7_mix_sources": op7_mix_sources,

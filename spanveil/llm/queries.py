@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import content_sort, mixing, neighbours, packing, tokens, url_rules, warc
+from spanveil.llm import content_sort, importance, mixing, neighbours, packing, tokens, url_rules, warc
 from spanveil.llm.scratch import new_path
 
 
@@ -50,6 +50,10 @@ def op9_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: (host, path, verdict); fixed values of the query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix_sources": op7_mix_sources,
     "op8_content_sort": op8_content_sort,
     "op9_pack_tiers": op9_pack_tiers,
+    "op10_importance": op10_importance,
 }
 
 ORACLE: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import content_sort, importance, mixing, neighbours, packing, tokens, url_rules, warc
+from spanveil.llm import content_sort, factors, importance, mixing, neighbours, packing, tokens, url_rules, warc
 from spanveil.llm.scratch import new_path
 
 
@@ -54,6 +54,12 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lz_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    left = factors.remove(docs, factors.parse(docs, window=20), window=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 #: (host, path, verdict); fixed values of the query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chain": op1_warc_chain,
     "op2_one_bit_codes": op2_one_bit_codes,
     "op3_token_counts": op3_token_counts,
+    "op4_lz_factors": op4_lz_factors,
     "op6_url_rules": op6_url_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_content_sort": op8_content_sort,

@@ -120,11 +120,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     parts = keep(owned.where(part).select("file", "id", "owner", "until", "pos"), "warc-parts")
     raw = _pieces(spark, path).withColumn("bytes", F.col("value").cast("binary"))
     heads = F.substring_index("value", END, 1)
-    first = every.where("pos is null").select("file", "id")
+    skip = keep(parts.select("file", "id").unionByName(every.where("pos is null").select("file", "id")), "warc-skip")
     start = F.octet_length(heads) + len(END)
     size = header(heads, "Content-Length").cast("int")
     ends = F.octet_length("value") >= F.octet_length(heads) + len(END)
-    whole = raw.join(parts.select("file", "id").unionByName(first), ["file", "id"], "left_anti").where(ends).select("file", heads.alias("headers"), F.substring(F.col("bytes"), start + 1, size).alias("payload"))
+    whole = raw.join(skip, ["file", "id"], "left_anti").where(ends).select("file", heads.alias("headers"), F.substring(F.col("bytes"), start + 1, size).alias("payload"))
     glued = raw.join(parts.where("owner is not null"), ["file", "id"]).groupBy("file", "owner", "until").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("ps"))
     joined = glued.select("file", F.aggregate(F.slice("ps", 2, F.size("ps")), F.element_at("ps", 1)["bytes"], lambda a, x: F.concat(a, F.lit(MAGIC.encode()), x["bytes"])).alias("bytes"), "until")
     joined = joined.withColumn("headers", F.substring_index(F.col("bytes").cast("string"), END, 1)).select(

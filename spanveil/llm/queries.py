@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import content_sort, factors, importance, mixing, neighbours, packing, tokens, url_rules, warc
+from spanveil.llm import content_sort, factors, importance, mixing, neighbours, packing, parity_join, tokens, url_rules, warc
 from spanveil.llm.scratch import new_path
 
 
@@ -60,6 +60,10 @@ def op4_lz_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.join_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 #: (host, path, verdict); fixed values of the query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_one_bit_codes": op2_one_bit_codes,
     "op3_token_counts": op3_token_counts,
     "op4_lz_factors": op4_lz_factors,
+    "op5_parity_join": op5_parity_join,
     "op6_url_rules": op6_url_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_content_sort": op8_content_sort,

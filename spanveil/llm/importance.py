@@ -121,7 +121,7 @@ def ratios(docs: DataFrame, weights: dict[int, float], id_col: str, text_col: st
                 doc, bucket = features(data, off)
                 hit = table[bucket] > 0
                 doc, bucket = _present(doc[hit], bucket[hit])
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(ids)), pa.array(np.bincount(doc, weights=table[bucket], minlength=len(ids)))], ["id", "ratio"])
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(ids)), pa.array(np.bincount(doc, weights=table[bucket], minlength=len(ids)).astype(np.float64))], ["id", "ratio"])
                 at += len(ids)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scored, "id long, ratio double")

@@ -114,12 +114,12 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end: bytes)
     import numpy as np
 
     tok, marks = tokens.tokenizer(tokenizer_path)
-    cache = _ids.setdefault(tokenizer_path, {})
     value = lambda e: np.array(e.ids, "<u4").tobytes()
+    cache = _ids.setdefault(tokenizer_path, tokens.Pieces(tok, value))
     for ids, texts, words in tokens.runs(batches, marks):
-        tokens.learn(cache, words, tok, value)
+        known = cache.learn(words)
         for key, text, ws in zip(ids, texts, words):
-            data = value(tok.encode(text.decode(), add_special_tokens=False)) if ws is None else b"".join(map(cache.__getitem__, ws))
+            data = value(tok.encode(text.decode(), add_special_tokens=False)) if ws is None else b"".join(map(known.__getitem__, ws))
             yield key, data + end
 
 

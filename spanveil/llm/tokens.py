@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS, FREQUENT = 512, 65_536
-#: Entries of a worker's cache; beyond that it starts anew.
-MOST_CACHED = 400_000
+#: Entries of a worker's caches; beyond that they start anew.
+MOST_CACHED, MOST_PARTS = 300_000, 1_000_000
+#: Punctuation that is cut off a piece's end.
+TAIL = b".,!?;:#$%&*|"
 #: Words of a run of documents that are looked up together.
 RUN_WORDS = 100_000
 
@@ -60,16 +62,47 @@ def runs(batches: Iterator[pa.RecordBatch], marks: list[bytes]) -> Iterator[tupl
         yield ids, texts, words
 
 
-def learn(cache: dict, words: list, tok, value) -> None:
-    """Puts value(encoding) of all words that the cache lacks into it."""
-    missing = set().union(*[w for w in words if w]) - cache.keys()
-    if len(cache) + len(missing) > MOST_CACHED:
-        cache.clear()
-        missing = set().union(*[w for w in words if w])
-    if missing:
-        missing = list(missing)
-        for w, e in zip(missing, tok.encode_batch([w.decode() for w in missing], add_special_tokens=False)):
-            cache[w] = value(e)
+class Pieces:
+    """A worker's cache: piece -> value, made of the values of its core and its tail.
+
+    Where ASCII punctuation follows an ASCII letter the tokenizer always cuts, and it
+    lowers A-Z itself; so ``Word,`` and ``word.`` share the core ``word``, and only cores
+    and tails are encoded. Values add up (lengths, or ids as bytes).
+    """
+
+    def __init__(self, tok, value):
+        self.tok, self.value = tok, value
+        self.words: dict = {}
+        self.parts: dict = {}
+
+    def learn(self, words: list) -> dict:
+        """Makes sure that all pieces of these lists are cached."""
+        pieces = set().union(*[w for w in words if w])
+        missing = pieces - self.words.keys()
+        if len(self.words) + len(missing) > MOST_CACHED:
+            self.words.clear()
+            missing = pieces
+        cuts = [_cut(w) for w in missing]
+        new = {p for cut in cuts for p in cut} - self.parts.keys()
+        if len(self.parts) + len(new) > MOST_PARTS:
+            self.parts.clear()
+            new = {p for cut in cuts for p in cut}
+        if new:
+            new = list(new)
+            self.parts.update(zip(new, map(self.value, self.tok.encode_batch([p.decode() for p in new], add_special_tokens=False))))
+        parts = self.parts
+        for w, cut in zip(missing, cuts):
+            self.words[w] = parts[cut[0]] if len(cut) == 1 else parts[cut[0]] + parts[cut[1]]
+        return self.words
+
+
+def _cut(piece: bytes) -> tuple[bytes, ...]:
+    # lowered, it could become a special string; combining marks may join a letter before it is lowered
+    if b"<" in piece or b"\xcc" in piece or b"\xcd" in piece:
+        return (piece,)
+    low = piece.lower()
+    core = low.rstrip(TAIL)
+    return (core, low[len(core) :]) if core and core != low and 97 <= core[-1] <= 122 else (low,)
 
 
 _lengths: dict = {}
@@ -90,16 +123,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
         tok, marks = tokenizer(tokenizer_path)
         names, sizes = shared.value
         first = {w: n for w, n in zip(names.split(), sizes) if n < 255}
-        cache = _lengths.setdefault(tokenizer_path, {})
+        cache = _lengths.setdefault(tokenizer_path, Pieces(tok, len))
         for ids, texts, words in runs(batches, marks):
             rest = [[w for w in ws if w not in first] if ws else ws for ws in words]
-            learn(cache, rest, tok, len)
+            known = cache.learn(rest)
             counts = []
             for text, ws, rs in zip(texts, words, rest):
                 if ws is None:
                     counts.append(len(tok.encode(text.decode(), add_special_tokens=False)))
                 else:
-                    counts.append(sum(map(first.get, ws, [0] * len(ws))) + sum(map(cache.__getitem__, rs)))
+                    counts.append(sum(map(first.get, ws, [0] * len(ws))) + sum(map(known.__getitem__, rs)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(map(len, texts), pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts])], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS, FREQUENT = 512, 65_536
 #: Entries of a worker's caches; beyond that they start anew.
-MOST_CACHED, MOST_PARTS = 300_000, 1_000_000
+MOST_CACHED, MOST_PARTS = 1_200_000, 1_200_000
 #: Punctuation that is cut off a piece's end.
 TAIL = b".,!?;:#$%&*|"
 #: Words of a run of documents that are looked up together.
@@ -78,22 +78,22 @@ class Pieces:
     def learn(self, words: list) -> dict:
         """Makes sure that all pieces of these lists are cached."""
         pieces = set().union(*[w for w in words if w])
-        missing = pieces - self.words.keys()
-        if len(self.words) + len(missing) > MOST_CACHED:
-            self.words.clear()
-            missing = pieces
+        known, parts = self.words, self.parts
+        missing = [w for w in pieces if w not in known]
+        if len(known) + len(missing) > MOST_CACHED:
+            known.clear()
+            missing = list(pieces)
         cuts = [_cut(w) for w in missing]
-        new = {p for cut in cuts for p in cut} - self.parts.keys()
-        if len(self.parts) + len(new) > MOST_PARTS:
-            self.parts.clear()
-            new = {p for cut in cuts for p in cut}
+        asked = {p for cut in cuts for p in cut}
+        new = [p for p in asked if p not in parts]
+        if len(parts) + len(new) > MOST_PARTS:
+            parts.clear()
+            new = list(asked)
         if new:
-            new = list(new)
-            self.parts.update(zip(new, map(self.value, self.tok.encode_batch([p.decode() for p in new], add_special_tokens=False))))
-        parts = self.parts
+            parts.update(zip(new, map(self.value, self.tok.encode_batch([p.decode() for p in new], add_special_tokens=False))))
         for w, cut in zip(missing, cuts):
-            self.words[w] = parts[cut[0]] if len(cut) == 1 else parts[cut[0]] + parts[cut[1]]
-        return self.words
+            known[w] = parts[cut[0]] if len(cut) == 1 else parts[cut[0]] + parts[cut[1]]
+        return known
 
 
 def _cut(piece: bytes) -> tuple[bytes, ...]:

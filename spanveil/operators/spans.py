@@ -86,7 +86,7 @@ def merge(text: Column, spans: Column) -> Column:
 def drop_contained(spans: Column) -> Column:
     """Without those that lie inside another with other bounds."""
     inside = lambda e, o: ((o["start"] != e["start"]) | (o["end"] != e["end"])) & (o["start"] <= e["start"]) & (o["end"] >= e["end"])
-    return F.filter(spans, lambda e: ~F.exists(spans, lambda o: inside(e, o)))
+    return let(spans, lambda xs: F.filter(xs, lambda e: ~F.exists(xs, lambda o: inside(e, o))))
 
 
 def trim(text: Column, spans: Column) -> Column:

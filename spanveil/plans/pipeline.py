@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanveil import labels
 from spanveil.config import EngineConfig
-from spanveil.functions.text import alnum_count, cut, digit_count, matches
+from spanveil.functions.text import alnum_count, cut, digit_count, let, matches
 from spanveil.operators import names, numeric, rules, snap, spans
 from spanveil.schemas import SPAN, SPANS
 
@@ -93,5 +93,6 @@ def redact(text: Column, found: Column) -> Column:
 
 def by_label(found: Column) -> Column:
     """Counts of the labels as a map."""
-    names_ = F.array_distinct(F.transform(found, lambda e: e["label"]))
-    return F.map_from_arrays(names_, F.transform(names_, lambda n: F.size(F.filter(found, lambda e: e["label"] == n)).cast("long")))
+    count = lambda xs, n: F.size(F.filter(xs, lambda e: e["label"] == n)).cast("long")
+    counted = lambda xs: let(F.array_distinct(F.transform(xs, lambda e: e["label"])), lambda names_: F.map_from_arrays(names_, F.transform(names_, lambda n: count(xs, n))))
+    return let(found, counted)

@@ -14,7 +14,7 @@ from spanveil import schemas
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text: whole files, without a byte order mark."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
 
 

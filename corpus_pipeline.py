@@ -17,26 +17,26 @@ from spanveil.llm.scratch import keep
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ids (a column _id), null among nulls."""
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The documents whose id is among ids (a column __kept_id), null among nulls."""
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the labelled good ones keeps."""
     judged = importance.resample(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, judged.where("kept").select(F.col("doc_id").alias("_id")))
+    return _only(docs, judged.where("kept").select(F.col("doc_id").alias("__kept_id")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, A-Z lowered, the one with the smallest id."""
     groups = content_sort.exact_groups(docs, retain="smallest")
-    return _only(docs, groups.where("kept").select(F.col("doc_id").alias("_id")))
+    return _only(docs, groups.where("kept").select(F.col("doc_id").alias("__kept_id")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingles, similarity 0.8 or more, connect, the one with the smallest id."""
     groups = parity_join.join_components(docs, width=5, percent=80)
-    return _only(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")))
+    return _only(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,14 +102,15 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_co
 
     Columns are those of docs; chars_col, if it is there, is the length of the text that is taken.
     """
-    taken = mixed.where("taken > 0").groupBy(F.col(id_col).alias("_id"), "size").agg(F.max("taken").alias("_taken"))
-    counted = docs.withColumn("_size", word_count(F.col(text_col)))
-    met = counted.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size")))
-    times, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    words = F.concat(F.array_repeat(F.lit(0), times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    out = met.withColumn("_words", F.explode(words))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("_words")), " ")
-    out = out.withColumn(text_col, F.when(F.col("_words") > 0, part).otherwise(F.col(text_col)))
+    own = "__mix_id", "__mix_size", "__mix_taken", "__mix_of", "__mix_words"  # apart from any column of docs
+    key, size, taken, of, words = own
+    takes = mixed.where("taken > 0").groupBy(F.col(id_col).alias(key), F.col("size").alias(size)).agg(F.max("taken").alias(taken))
+    met = docs.withColumn(of, word_count(F.col(text_col))).join(takes, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(of) == F.col(size)))
+    times, rest = F.floor(F.col(taken) / F.col(of)).cast("int"), (F.col(taken) % F.col(of)).cast("int")
+    rounds = F.concat(F.array_repeat(F.lit(0), times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    out = met.withColumn(words, F.explode(rounds))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col(words)), " ")
+    out = out.withColumn(text_col, F.when(F.col(words) > 0, part).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out.select(*docs.columns)

@@ -9,10 +9,12 @@ spare`` parts, similar sets agree in more than ``spare`` whole parts, so joining
 (band, part, word) loses no link. Words that many documents share (empty parts, parts
 with boilerplate only) are left out for documents that have at most ``spare`` of them:
 more than ``spare`` agreeing parts cannot all be such words; documents with more of them
-keep all. Candidates are first each document with the least one of its group; what then
-lies in different components but shares a word is compared pair by pair by a smaller
-sketch, in cells of bounded size, and only pairs within the bound go on. Every
-candidate is verified on the exact sets. Documents with equal sets are one class, and a
+keep all. Candidates are first each document with the one that it shares most words with, of
+those that are least in a group. Then each group that still holds several components
+is searched for links between them: smaller sketches bound each pair from below, and
+pairs within the bound go on; of large groups first only those that would join
+components, then, where components are left, all. Every candidate is verified on the
+exact sets. Documents with equal sets are one class, and a
 task sends the words of a class once.
 
 Defined results: null or empty texts and texts without words have no shingles, size 0
@@ -32,17 +34,23 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanveil.llm import hashing
-from spanveil.llm.scratch import keep
+from spanveil.llm.scratch import discard, keep
 
 TABLE = hashing.byte_table(102, lower=True)
 FIRST = -(1 << 63)
 #: A word in more documents than this is one that many share.
 MANY = 32
 #: Members of a group that are compared in one cell; rows that a task settles at once; classes that a task remembers.
-CELL, HELD, SEEN = 1024, 1_000_000, 200_000
+CELL, HELD, SEEN = 1024, 250_000, 100_000
+#: A wide sketch has so many times the bits of a small one.
+WIDER = 4
+#: Rows of a batch that goes back to Spark.
+BATCH_ROWS = 50_000
 #: A table of at most so many ids goes to all tasks; larger ones are joined by sort and merge.
 SMALL = 1_000_000
 KEY, LOCAL, INFO = 0, 1, 2
+#: Spare parts of a band; a third of them may be empty parts left out, a third words that many documents share.
+MOST_SPARE = 4095
 
 
 class Bands:
@@ -55,7 +63,7 @@ class Bands:
             tops.append(tops[-1] * 3 // 2)
         self.tops = np.array(tops, np.int64)
         self.most = self.differences(2 * self.tops)
-        self.spare = np.where(self.most > 0, 2 + self.most * 8 // 100, 0)
+        self.spare = np.where(self.most > 0, np.minimum(MOST_SPARE, 2 + self.most * 8 // 100), 0)
         self.parts = self.most + 1 + self.spare
         bits = np.maximum(64, 4 * self.most)
         self.bits = (1 << np.ceil(np.log2(bits)).astype(np.int64)).astype(np.int64)
@@ -136,11 +144,12 @@ def _settle(key: np.ndarray, doc: np.ndarray, spare: np.ndarray) -> Iterator[pa.
     key, doc, spare = key[o], doc[o], spare[o]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(head, len(key)))
-    yield _rows(KEY, key[head], doc[head], size * 4096 + spare[head])
     rest = np.ones(len(key), bool)
     rest[head] = False
-    if rest.any():
-        yield _rows(LOCAL, key[rest], doc[rest], 4096 + spare[rest])
+    for kind, at, value in ((KEY, head, size * 4096 + spare[head]), (LOCAL, np.flatnonzero(rest), 4096 + spare[rest])):
+        for a in range(0, len(at), BATCH_ROWS):
+            own = at[a : a + BATCH_ROWS]
+            yield _rows(kind, key[own], doc[own], value[a : a + BATCH_ROWS])
 
 
 def _sketched(bands: Bands, width: int):
@@ -165,12 +174,11 @@ def _sketched(bands: Bands, width: int):
                 owner, part, word = part_words(doc, g, bands, own)
                 if len(owner):
                     spare = bands.spare[own]
-                    # of empty parts up to half of the spare ones are left out
-                    empty = np.bincount(owner[word == 0], minlength=len(ids)) <= spare // 2
+                    empty = np.bincount(owner[word == 0], minlength=len(ids)) <= spare // 3
                     stay = (word != 0) | ~empty[owner]
                     owner, part, word = owner[stay], part[stay], word[stay]
                     key = hashing.mix(word ^ hashing.mix((own[owner] * (1 << 40) + part).astype(np.uint64) + np.uint64(1)))
-                    held.append((key, ids[owner], np.minimum(4095, spare - spare // 2)[owner]))
+                    held.append((key, ids[owner], spare[owner]))
                     size += len(key)
             if size >= HELD:
                 yield from _settle(*[np.concatenate(x) for x in zip(*held)])
@@ -187,15 +195,26 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(key, doc) of words that link documents; see the module on words that many share."""
+    """(key, doc) of words that can link documents.
+
+    A link shares more than ``spare`` words; at most a third of ``spare`` are left out as
+    empty and a third as words of many documents, so a document with fewer of the
+    other words in common with any others than what remains has no link.
+    """
     kind, value = F.col("meta").bitwiseAND(3), F.shiftright("meta", 2)
     words = rows.where(kind != INFO).select("key", "doc", (value.bitwiseAND(4095)).alias("spare"), "total")
+    third = F.floor(F.col("s") / 3)
     many = keep(words.where(F.col("total") > MANY).select("key").distinct(), "parity-many")
-    flagged = words.join(_small(many.withColumn("many", F.lit(True))), "key", "left")
-    common = keep(flagged.where("many").select("key", "doc", "spare"), "parity-common")
-    # with the words of two bands, a document has the allowance of each; the larger count of words is what it must exceed
-    over = keep(common.groupBy("doc").agg(F.count(F.lit(1)).alias("c"), F.min("spare").alias("s")).where("c > s").select("doc"), "parity-over")
-    return keep(flagged.where("many is null").select("key", "doc").unionByName(common.join(_small(over), "doc", "left_semi").select("key", "doc")), "parity-candidates")
+    flagged = keep(words.join(_small(many.withColumn("many", F.lit(True))), "key", "left"), "parity-flagged")
+    common = flagged.where("many").select("key", "doc", "spare")
+    # a document in two bands may have that many in each: the smaller allowance, for both together, leaves out less
+    over = keep(common.groupBy("doc").agg(F.count(F.lit(1)).alias("c"), F.min("spare").alias("s")).where(F.col("c") > third).select("doc"), "parity-over")
+    stay = keep(flagged.where("many is null").select("key", "doc", "spare").unionByName(common.join(_small(over), "doc", "left_semi")), "parity-stay")
+    able = keep(stay.groupBy("doc").agg(F.count(F.lit(1)).alias("c"), F.min("spare").alias("s")).where(F.col("c") >= F.col("s") + 1 - 2 * third).select("doc"), "parity-able")
+    discard(flagged)
+    out = keep(stay.join(_small(able), "doc", "left_semi").select("key", "doc"), "parity-candidates")
+    discard(stay)
+    return out
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -234,48 +253,98 @@ def _near(bands: Bands):
     return run
 
 
-def _crossed(bands: Bands):
-    """Pairs of one cell in different components that the sketches don't tell apart; rows sorted by cell: cell, side, doc, comp, n, sketch."""
+def _joining(bands: Bands, everything: bool):
+    """Pairs of different components that may link, of each group of rows (group, id, comp, n, sketch, wide), sorted by group.
+
+    A pair goes on if the distance of the sketches, then of the wide ones if given, is within its bound. Of a group of more than
+    MANY, as in Kruskal's algorithm, the nearest pairs go on that join its components, one
+    fewer than these at most; with everything, all pairs do.
+    """
 
-    def pairs(side, doc, comp, n, sketches) -> Iterator[tuple[int, int]]:
+    def matrix(sketches) -> np.ndarray:
         size = min(map(len, sketches)) // 8
-        x = np.array([_folded(np.frombuffer(s, np.uint64), size) for s in sketches])
-        for i in range(len(doc) - 1):
-            rest = slice(i + 1, len(doc))
-            near = np.bitwise_count(x[rest] ^ x[i]).sum(axis=1) <= bands.differences(n[rest] + n[i])
-            near &= (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= bands.percent * np.maximum(n[rest], n[i]))
-            for j in np.flatnonzero(near) + i + 1:
-                yield (int(doc[i]), int(doc[j])) if doc[i] < doc[j] else (int(doc[j]), int(doc[i]))
+        return np.array([_folded(np.frombuffer(s, np.uint64), size) for s in sketches])
+
+    def near_pairs(comp, n, sketches, wide) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances and indices of the pairs."""
+        x, out = matrix(sketches), []
+        y = None if wide[0] is None else matrix(wide)
+        for a in range(0, len(n), 64):
+            i, j = np.nonzero((comp[a : a + 64, None] != comp[None, :]) & (np.arange(a, min(a + 64, len(n)))[:, None] < np.arange(len(n))[None, :]))
+            i += a
+            fits = 100 * np.minimum(n[i], n[j]) >= bands.percent * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            apart = np.bitwise_count(x[i] ^ x[j]).sum(axis=1)
+            near = apart <= bands.differences(n[i] + n[j])
+            apart, i, j = apart[near], i[near], j[near]
+            if y is not None and len(i):
+                near = np.bitwise_count(y[i] ^ y[j]).sum(axis=1) <= bands.differences(n[i] + n[j])
+                apart, i, j = apart[near], i[near], j[near]
+            out.append((apart, i, j))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def pairs(ids, comp, n, sketches, wide) -> np.ndarray:
+        apart, i, j = near_pairs(comp, n, sketches, wide)
+        if len(ids) > MANY and not everything:
+            root = {c: c for c in comp.tolist()}
+
+            def top(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            joins = []
+            for k in np.argsort(apart, kind="stable").tolist():
+                p, q = top(int(comp[i[k]])), top(int(comp[j[k]]))
+                if p != q:
+                    root[p] = q
+                    joins.append(k)
+            i, j = i[joins], j[joins]
+        return np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1)
+
+    def whole(t: pa.Table) -> Iterator[np.ndarray]:
+        group, ids, comp, n = (np.asarray(t.column(c).combine_chunks()) for c in range(4))
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        ends = np.append(heads[1:], len(group))
+        open_ = np.minimum.reduceat(comp, heads) != np.maximum.reduceat(comp, heads)
+        sketches, wide = t.column(4), t.column(5)
+        for a, b in zip(heads[open_].tolist(), ends[open_].tolist()):
+            yield pairs(ids[a:b], comp[a:b], n[a:b], sketches.slice(a, b - a).to_pylist(), wide.slice(a, b - a).to_pylist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, found = None, set()
+        held: list[pa.RecordBatch] = []
+        found: list[np.ndarray] = []
+        size = 0
         for t in batches:
-            t = pa.Table.from_batches([t] if rest is None else [*rest.to_batches(), t]).combine_chunks()
-            cell = np.asarray(t.column(0).combine_chunks())
-            heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            rest = t.slice(int(heads[-1])) if len(cell) else None
-            found.update(_groups(t.slice(0, int(heads[-1])) if len(cell) else t, heads[:-1], pairs))
-            if len(found) > 200_000:
-                yield _pairs(found)
-                found = set()
-        if rest is not None:
-            found.update(_groups(rest, np.zeros(1, np.int64), pairs))
-        yield _pairs(found)
+            group = np.asarray(t.column(0))
+            if not len(group):
+                continue
+            if held and held[-1].column(0)[-1].as_py() != group[0]:
+                found += whole(pa.Table.from_batches(held))
+                held = []
+            last = np.flatnonzero(group != group[-1])
+            if len(last):  # the last group of the batch may go on in the next one
+                cut = int(last[-1]) + 1
+                found += whole(pa.Table.from_batches([*held, t.slice(0, cut)]))
+                held = []
+                t = t.slice(cut)
+            held.append(t)
+            size = sum(map(len, found))
+            if size > HELD:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                if len(found[0]) > HELD // 2:
+                    yield _pairs(found[0])
+                    found = []
+        if held:
+            found += whole(pa.Table.from_batches(held))
+        if found:
+            yield _pairs(np.unique(np.concatenate(found), axis=0))
 
     return run
 
 
-def _groups(t: pa.Table, heads: np.ndarray, pairs) -> Iterator[tuple[int, int]]:
-    doc, comp, n = (np.asarray(t.column(c).combine_chunks()) if t.num_rows else np.empty(0, np.int64) for c in (1, 2, 3))
-    sketches = t.column(4).to_pylist()
-    for a, b in zip(heads, np.append(heads[1:], t.num_rows)):
-        if b - a > 1 and (comp[a:b] != comp[a]).any():
-            yield from pairs(None, doc[a:b], comp[a:b], n[a:b], sketches[a:b])
-
-
-def _pairs(found: set) -> pa.RecordBatch:
-    a = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+def _pairs(a: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, 0])), pa.array(np.ascontiguousarray(a[:, 1]))], ["a", "b"])
 
 
 class Join:
@@ -294,13 +363,15 @@ class Join:
         self.classes = classes
         self.members = keep(info.select("doc", "n", "same").join(classes.select("same", "n", "id"), ["same", "n"], "left").select("doc", "n", F.coalesce("id", "doc").alias("id")), "parity-members")
         linked = candidates(rows)
+        discard(rows)
         moved = keep(self.members.where("id <> doc").select("doc", "id").distinct(), "parity-moved")
-        self.words = keep(linked.join(_small(moved), "doc", "left").select("key", F.coalesce("id", "doc").alias("id")).distinct(), "parity-words")
+        self.words = keep(linked.join(_small(moved), "doc", "left").select("key", F.coalesce("id", "doc").alias("id")), "parity-words")
+        discard(linked)
 
-    def sets(self) -> DataFrame:
-        """(id, shingles) of the classes that share a word with another."""
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(id, shingles) of the classes in the pairs."""
         width = self.width
-        ids = keep(self.words.select(F.col("id").alias("doc")).distinct(), "parity-ids")
+        ids = keep(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "parity-ids")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for keys, data, off in hashing.chunks(batches):
@@ -311,49 +382,85 @@ class Join:
         found = self.text.join(_small(ids), "doc", "left_semi").mapInArrow(run, "id long, shingles array<long>")
         return keep(found, "parity-sets")
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar enough."""
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar enough; pairs must be a written table."""
+        sets = self.sets(pairs)
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - common
-        return both.where(100 * common >= self.bands.percent * union).select("a", "b").distinct()
+        links = keep(both.where(100 * common >= self.bands.percent * union).select("a", "b").distinct(), "parity-links")
+        discard(sets)
+        return links
 
     def described(self, pairs: DataFrame) -> DataFrame:
         side = lambda c: self.classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
-    def with_first(self) -> DataFrame:
-        """Of each class, the pair with the least class that it shares most words with."""
-        least = keep(self.words.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"), "parity-least")
-        shared = self.words.join(least, "key").where("a < id").groupBy("id", "a").agg(F.count(F.lit(1)).alias("c"))
-        best = shared.groupBy("id").agg(F.max(F.struct("c", (-F.col("a")).alias("m"))).alias("m"))
-        return best.select((-F.col("m.m")).alias("a"), F.col("id").alias("b"))
-
-    def across(self, labels: DataFrame) -> DataFrame:
-        """Pairs that share a word, lie in different components and have near sketches."""
-        placed = self.words.join(labels, "id")
-        open_keys = keep(placed.groupBy("key").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "f"), "parity-open")
-        rows = placed.join(open_keys, "key").join(self.classes.select("id", "n", "sketch"), "id")
-        blocks = F.ceil(F.col("f") / CELL).cast("int")
-        mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        celled = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", other)
-        cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-        celled = celled.select(cell.alias("cell"), "id", "comp", "n", "sketch").repartition("cell").sortWithinPartitions("cell")
-        return celled.mapInArrow(_crossed(self.bands), "a long, b long").distinct()
+    def stars(self) -> DataFrame:
+        """(a, b, c): b shares c words with a, the least class of their groups."""
+        least = keep(self.words.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("f")).where("a < z").select("key", "a", "f"), "parity-least")
+        large = keep(least.where(F.col("f") > MANY).select("key", F.ceil(F.col("f") / CELL).cast("int").alias("blocks")), "parity-large")
+        shared = self.words.join(least, "key").where("a < id")
+        out = keep(shared.groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("c")), "parity-stars")
+        discard(least)
+        plain, self.words = self.words, keep(self.words.join(_small(large), "key", "left"), "parity-words")
+        discard(plain)
+        return out
+
+    def best(self, stars: DataFrame) -> DataFrame:
+        """Of each class, the pair with the one that it shares most words with."""
+        top = stars.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("m"))).alias("m"))
+        return top.select((-F.col("m.m")).alias("a"), "b")
+
+    def wide_sketches(self, ids: DataFrame) -> DataFrame:
+        """(id, wide): sketches with WIDER times the bits, which few pairs beyond the bound pass."""
+        bands, width = self.bands, self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, data, off in hashing.chunks(batches):
+                doc, g = shingle_sets(data, off, width)
+                wide = small_sketches(doc, g, bands.bits[bands.of(np.bincount(doc, minlength=len(keys)))] * WIDER)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(wide, pa.binary())], ["id", "wide"])
+
+        return keep(self.text.join(_small(ids), "doc", "left_semi").mapInArrow(run, "id long, wide binary"), "parity-wide")
+
+    def across(self, labels: DataFrame, large_only: bool) -> DataFrame:
+        """Pairs in different components that share a word and may link; see _joining. A large group is cut into blocks by hash, a cell for each pair of blocks."""
+        info, rows = labels.join(self.classes.select("id", "n", "sketch"), "id"), self.words
+        if large_only:
+            rows = rows.where("blocks is not null")
+            info = info.join(self.wide_sketches(keep(rows.select(F.col("id").alias("doc")).distinct(), "parity-ids")), "id")
+        else:
+            info = info.withColumn("wide", F.lit(None).cast("binary"))
+        info = keep(info, "parity-info")
+        rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        cells = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "id")
+        if info.limit(SMALL + 1).count() <= SMALL:
+            met = cells.repartition("group").join(F.broadcast(info), "id")
+        else:
+            met = cells.join(info, "id").repartition("group")
+        dealt = met.select("group", "id", "comp", "n", "sketch", "wide").sortWithinPartitions("group")
+        out = keep(dealt.mapInArrow(_joining(self.bands, large_only), "a long, b long").distinct(), "parity-across")
+        discard(info)
+        return out
 
 
 def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id (least id reachable by links, itself included)."""
     j = Join(docs, width, percent, id_col, text_col)
-    sets = j.sets()
-    near = lambda pairs: keep(j.described(pairs).mapInArrow(_near(j.bands), "a long, b long"), "parity-near")
-    links = keep(j.verified(near(j.with_first()), sets), "parity-links")
-    nodes = sets.select("id").distinct()
+    stars = j.stars()
+    near = keep(j.described(j.best(stars)).mapInArrow(_near(j.bands), "a long, b long"), "parity-near")
+    links = j.verified(near)
+    nodes = keep(j.words.select("id").distinct(), "parity-nodes")
     labels = components(nodes, links)
-    more = keep(j.verified(keep(j.across(labels), "parity-across"), sets), "parity-more")
-    labels = components(nodes, links.unionByName(more))
+    discard(stars)
+    for large_only in (False, True):
+        more = j.verified(j.across(labels, large_only))
+        links = keep(links.unionByName(more), "parity-links")
+        labels = components(nodes, links)
+    discard(j.words)
     out = j.members.join(labels, "id", "left").select("doc", "n", F.coalesce("comp", "id").alias("comp"))
     back = lambda c: F.nullif(F.col(c), F.lit(FIRST))
     return out.select(back("doc").alias(id_col), F.col("n").alias("n_shingles"), back("comp").alias("component_id"))

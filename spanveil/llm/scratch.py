@@ -24,12 +24,35 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/spanveil/{tag}-{uuid.uuid4().hex}"
 
 
+#: Spark then removes a write's shuffle files when it ends, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch while keep() writes: whole texts come to a few MB then.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write df once and read it back: cuts the lineage, survives lost executors, has exact sizes for the planner."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k) for k in (CLEANUP, BATCH)}
+    spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(min(BATCH_ROWS, int(before[BATCH]))))
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what keep() wrote; nothing that is still to run may read it."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

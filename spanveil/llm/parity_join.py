@@ -48,6 +48,10 @@ WIDER = 4
 BATCH_ROWS = 50_000
 #: A table of at most so many ids goes to all tasks; larger ones are joined by sort and merge.
 SMALL = 1_000_000
+#: Sketches of so many bytes go to all tasks; more are joined by sort and merge.
+BROADCAST_BYTES = 128 << 20
+#: Words of sketches that are compared at once.
+SLICE_WORDS = 1 << 19
 KEY, LOCAL, INFO = 0, 1, 2
 #: Spare parts of a band; a third of them may be empty parts left out, a third words that many documents share.
 MOST_SPARE = 4095
@@ -265,6 +269,11 @@ def _joining(bands: Bands, everything: bool):
         size = min(map(len, sketches)) // 8
         return np.array([_folded(np.frombuffer(s, np.uint64), size) for s in sketches])
 
+    def distances(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        step = max(1, SLICE_WORDS // x.shape[1])
+        parts = [np.bitwise_count(x[i[a : a + step]] ^ x[j[a : a + step]]).sum(axis=1, dtype=np.int64) for a in range(0, len(i), step)]
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
     def near_pairs(comp, n, sketches, wide) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distances and indices of the pairs."""
         x, out = matrix(sketches), []
@@ -274,11 +283,11 @@ def _joining(bands: Bands, everything: bool):
             i += a
             fits = 100 * np.minimum(n[i], n[j]) >= bands.percent * np.maximum(n[i], n[j])
             i, j = i[fits], j[fits]
-            apart = np.bitwise_count(x[i] ^ x[j]).sum(axis=1)
+            apart = distances(x, i, j)
             near = apart <= bands.differences(n[i] + n[j])
             apart, i, j = apart[near], i[near], j[near]
             if y is not None and len(i):
-                near = np.bitwise_count(y[i] ^ y[j]).sum(axis=1) <= bands.differences(n[i] + n[j])
+                near = distances(y, i, j) <= bands.differences(n[i] + n[j])
                 apart, i, j = apart[near], i[near], j[near]
             out.append((apart, i, j))
         return tuple(np.concatenate(c) for c in zip(*out))
@@ -437,7 +446,8 @@ class Join:
         rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         cells = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "id")
-        if info.limit(SMALL + 1).count() <= SMALL:
+        size = F.octet_length("sketch") + F.coalesce(F.octet_length("wide"), F.lit(0)) + 32
+        if (info.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
             met = cells.repartition("group").join(F.broadcast(info), "id")
         else:
             met = cells.join(info, "id").repartition("group")

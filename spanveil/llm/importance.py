@@ -4,16 +4,20 @@ Each document is the set of its hashed word unigrams (letters only, A-Z lowered)
 hashed bigrams of word shapes (punctuation, capitals, repetition of the word before).
 Two generative models count, for each bucket, the documents that have it: the target's,
 over at most ``most_labelled`` labelled good rows, and the raw text's, over all
-documents. A document's log ratio adds log(raw / target) over its buckets in which raw
-text has significantly more than the target explains; elsewhere the two agree. With the
-raw text as a mixture of target and rest, the importance weight is
-1 / (p + (1 - p) exp(ratio - offset)), bounded by 1 / p, where the prior p and the offset
-come from the labelled rows. Documents are sampled without replacement by the k largest
-``sharpness * log weight`` plus Gumbel noise; k is the expected number of target
-documents. The k-th key is found by counting keys in ever narrower bins.
+documents. A document's log ratio adds log(raw / target), smoothed and of either sign,
+over all its buckets. Each is shrunk by the probability that the bucket tells good from
+bad at all, from its counts among the labelled rows of both kinds (without bad ones:
+among good rows and all others), as most buckets are rare and their ratios chance. A
+document's own row counts in neither model. With the raw text as a mixture of target and
+rest, the importance weight is 1 / (p + (1 - p) exp(ratio - offset)), bounded by 1 / p,
+where the prior p and the offset come from the labelled rows. Documents are sampled
+without replacement by the k largest ``sharpness * log weight`` plus Gumbel noise; k is
+the expected number of target documents. The k-th key is found by counting keys in ever
+narrower bins.
 
 Defined results: null and empty texts have no n-grams, so ratio 0, and count as target;
-without labelled good rows every ratio is 0 and all are kept; noise depends on seed and
+without labelled good rows every ratio is 0 and all are kept; all are kept as well where
+the ratios of good and bad rows differ no more than by chance; noise depends on seed and
 id only, so rows that repeat share one key and keys equal to the k-th are all kept;
 labels of absent documents are not used; the whole text counts, however long.
 """
@@ -31,10 +35,13 @@ from spanveil.llm import hashing
 from spanveil.llm.scratch import keep
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 19, 1 << 14
-#: Labelled good rows that the target model is fitted on, labelled bad rows that only set the offset: at most so many each.
+GOOD, BAD = 1, 2
+#: Labelled good rows that the target model is fitted on, labelled bad rows that set the shrinking and the offset: at most so many each.
 MOST_LABELLED = 40_000
-#: A bucket counts if raw exceeds what the target explains by so many deviations and by this log factor.
-DEVIATIONS, LEAST_LOG = 6.0, 1.5
+#: Share of buckets taken to tell good from bad before their counts are seen, documents added to both sides of a ratio.
+TELLING, ADDED = 0.01, 0.5
+#: The labelled rows' ratios differ if their distributions lie apart by so many times sqrt(1 / good + 1 / bad): chance does it once in a hundred.
+APART = 1.63
 SHARPNESS, SEED = 16.0, 5
 #: The k-th key is read off once so few keys are in its bin.
 LAST_BIN, BINS = 4096, 1024
@@ -75,16 +82,18 @@ def _present(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: bucket, documents that have it, good ones among them; bucket -1 counts documents. Batches: is good, text."""
+    """Per task: bucket, documents that have it, good and bad ones among them; bucket -1 counts documents. Batches: mark, text."""
     n = WORD_BUCKETS + SHAPE_BUCKETS
-    raw, good, docs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(2, np.int64)
-    for flags, data, off in hashing.chunks(batches):
+    sums, docs = np.zeros((3, n), np.int64), np.zeros(3, np.int64)
+    for marks, data, off in hashing.chunks(batches):
         doc, bucket = _present(*features(data, off))
-        raw += np.bincount(bucket, minlength=n)
-        good += np.bincount(bucket[flags[doc] > 0], minlength=n)
-        docs += len(flags), int((flags > 0).sum())
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(raw[at], docs[0])), pa.array(np.append(good[at], docs[1]))], ["bucket", "raw", "good"])
+        sums[0] += np.bincount(bucket, minlength=n)
+        docs[0] += len(marks)
+        for mark in (GOOD, BAD):
+            sums[mark] += np.bincount(bucket[marks[doc] == mark], minlength=n)
+            docs[mark] += int((marks == mark).sum())
+    at = np.flatnonzero(sums[0])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *(pa.array(np.append(c[at], d)) for c, d in zip(sums, docs, strict=True))], ["bucket", "raw", "good", "bad"])
 
 
 def labelled(labels: DataFrame, good: bool, most: int) -> DataFrame:
@@ -94,49 +103,72 @@ def labelled(labels: DataFrame, good: bool, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def model(counts: DataFrame) -> dict[int, float]:
-    """Bucket -> log(raw / target), of the buckets that count; few, as each must be far from chance."""
-    totals = counts.where("bucket = -1").agg(F.sum("raw"), F.sum("good")).first()
-    if not totals[0] or not totals[1]:
-        return {}
-    scale = totals[0] / totals[1]
-    explained = (F.col("good") + 1) * scale
-    ratio = F.log(F.col("raw") / explained)
-    sums = counts.where("bucket >= 0").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    heavy = sums.where((F.col("raw") - explained > DEVIATIONS * F.sqrt(explained * (1 + scale))) & (ratio > LEAST_LOG))
-    return {r[0]: r[1] for r in heavy.select("bucket", ratio).collect()}
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    x = n + 1.0
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, 16)))])
+    return np.where(n < 16, small[np.minimum(n, 15).astype(np.int64)], (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3))
 
 
-def ratios(docs: DataFrame, weights: dict[int, float], id_col: str, text_col: str) -> DataFrame:
-    table = np.zeros(WORD_BUCKETS + SHAPE_BUCKETS)
-    table[list(weights)] = list(weights.values())
-    shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(table), table[table > 0]))
+def telling(good: np.ndarray, rest: np.ndarray, share: float) -> np.ndarray:
+    """Probability that a bucket's good and other rows are not split by chance, where share of all rows are good; the other split may be any."""
+    chance = _log_factorial(good + rest) - _log_factorial(good) - _log_factorial(rest) + good * np.log(share) + rest * np.log1p(-share)
+    other = -np.log(good + rest + 1)
+    return 1 / (1 + (1 - TELLING) / TELLING * np.exp(np.minimum(500, chance - other)))
+
+
+def model(counts: DataFrame) -> np.ndarray | None:
+    """Shrunk log(raw / target) of each bucket, as documents without a mark, good and bad ones see it: without their own row."""
+    n = WORD_BUCKETS + SHAPE_BUCKETS
+    # at most n + 1 rows
+    rows = counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "good", "bad"))).toArrow()
+    sums = np.zeros((3, n + 1))
+    at = rows.column("bucket").to_numpy()
+    for i, c in enumerate(("raw", "good", "bad")):
+        sums[i, at] = rows.column(c).to_numpy()
+    if not sums[GOOD, n]:
+        return None
+    out = np.zeros((3, n), np.float32)
+    for mark in (0, GOOD, BAD):
+        raw, good, bad = (np.maximum(0, sums[i] - (i in (0, mark))) for i in range(3))
+        good, bad, rest = np.minimum(good, raw), np.minimum(bad, raw), bad if sums[BAD, n] else np.maximum(0, raw - good)
+        if good[n] and rest[n]:
+            expected = raw * (good[n] / raw[n])
+            out[mark] = (telling(good, rest, good[n] / (good[n] + rest[n])) * np.log((expected + ADDED) / (good + ADDED)))[:n]
+    return out
+
+
+def ratios(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
+    """id, ratio of documents (doc_id, mark, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(WORD_BUCKETS + SHAPE_BUCKETS)
-        table[shared.value[0]] = shared.value[1]
+        table = shared.value
         for batch in batches:
             keys, at = batch.column(0), 0
-            for ids, data, off in hashing.chunks(iter([batch])):
-                doc, bucket = features(data, off)
-                hit = table[bucket] > 0
-                doc, bucket = _present(doc[hit], bucket[hit])
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(ids)), pa.array(np.bincount(doc, weights=table[bucket], minlength=len(ids)).astype(np.float64))], ["id", "ratio"])
-                at += len(ids)
+            for marks, data, off in hashing.chunks(iter([batch.select(["mark", "text"])])):
+                total = np.zeros(len(marks))
+                if table is not None:
+                    doc, bucket = _present(*features(data, off))
+                    total = np.bincount(doc, weights=table[marks[doc], bucket], minlength=len(marks)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(marks)), pa.array(total)], ["id", "ratio"])
+                at += len(marks)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scored, "id long, ratio double")
+    return docs.select("doc_id", "mark", "text").mapInArrow(scored, "id long, ratio double")
 
 
-def best_offset(good: np.ndarray, bad: np.ndarray) -> float:
-    """The ratio above which documents count as rest: least sum of the shares of good above and bad not above."""
+def best_offset(good: np.ndarray, bad: np.ndarray) -> float | None:
+    """The ratio above which documents count as rest: fewest good rows above and bad rows not above; None if chance sets the two apart."""
     if not len(good):
-        return 0.0
+        return None
     if not len(bad):
         return float(good.max()) + 1
     edges = np.unique(np.concatenate([good, bad]))
-    lost = 1 - np.searchsorted(np.sort(good), edges, "right") / len(good)
-    kept = np.searchsorted(np.sort(bad), edges, "right") / len(bad)
-    i = int(np.argmin(lost + kept))
+    lost = len(good) - np.searchsorted(np.sort(good), edges, "right")
+    kept = np.searchsorted(np.sort(bad), edges, "right")
+    # no two samples are further apart than 1, so few rows that part wholly are taken as they are
+    if np.max(1 - lost / len(good) - kept / len(bad)) < min(1 - 1e-9, APART * np.sqrt(1 / len(good) + 1 / len(bad))):
+        return None
+    i = len(edges) - 1 - int(np.argmin((lost + kept)[::-1]))
     return float((edges[i] + edges[min(i + 1, len(edges) - 1)]) / 2)
 
 
@@ -162,22 +194,22 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, sharpness: float = SHARPNESS, seed: int = SEED) -> DataFrame:
     """One row a document: id, log_ratio, weight, key, kept."""
     known = labels.withColumn("doc_id", F.col("doc_id").cast("long"))
-    marks = keep(labelled(known, True, most_labelled).withColumn("good", F.lit(1)).unionByName(labelled(known, False, most_labelled).withColumn("good", F.lit(0))), "labelled")
-    # at most 2 * most_labelled ids, so this side may be broadcast
-    good = F.broadcast(marks.where("good = 1"))
+    marks = keep(labelled(known, True, most_labelled).withColumn("mark", F.lit(GOOD)).unionByName(labelled(known, False, most_labelled).withColumn("mark", F.lit(BAD))), "labelled")
+    # an id with good and bad rows is bad; at most 2 * most_labelled ids, so this side may be broadcast
+    marks = F.broadcast(marks.groupBy("doc_id").agg(F.max("mark").cast("long").alias("mark")))
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    flagged = text.join(good, "doc_id", "left").select(F.coalesce("good", F.lit(0)).cast("long").alias("good"), "text")
-    counts = keep(flagged.mapInArrow(_counted, "bucket long, raw long, good long"), "ngram-counts")
-    table = keep(ratios(docs, model(counts), id_col, text_col), "log-ratios")
-    seen = table.join(F.broadcast(marks.withColumnRenamed("doc_id", "id")), "id").select("good", "ratio").limit(4 * most_labelled).toPandas()
-    fit, rest = seen.ratio[seen.good == 1].to_numpy(), seen.ratio[seen.good == 0].to_numpy()
+    marked = text.join(marks, "doc_id", "left").select("doc_id", F.coalesce("mark", F.lit(0)).cast("long").alias("mark"), "text")
+    counts = keep(marked.select("mark", "text").mapInArrow(_counted, "bucket long, raw long, good long, bad long"), "ngram-counts")
+    table = keep(ratios(marked, model(counts)), "log-ratios")
+    seen = table.join(marks.withColumnRenamed("doc_id", "id"), "id").select("mark", "ratio").limit(4 * most_labelled).toPandas()
+    fit, rest = seen.ratio[seen.mark == GOOD].to_numpy(), seen.ratio[seen.mark == BAD].to_numpy()
     offset = best_offset(fit, rest)
     prior = min(0.999, max(0.001, len(fit) / max(1, len(seen)))) if len(fit) else 0.999
-    excess = F.least(F.lit(500.0), F.lit(sharpness) * (F.col("ratio") - offset)) if len(fit) else F.lit(-500.0)
+    excess = F.lit(-500.0) if offset is None else F.least(F.lit(500.0), F.lit(sharpness) * (F.col("ratio") - offset))
     weight = 1 / (prior + (1 - prior) * F.exp(excess))
     noise = -F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) + 0.5) / float(1 << 53)))
     keyed = table.select("id", "ratio", weight.alias("weight"), (F.log(weight) + noise).alias("key"))
     expected = keyed.agg(F.sum(F.col("weight") * prior)).first()[0] or 0.0
-    least = kth_largest(keyed, round(expected))
+    least = None if offset is None else kth_largest(keyed, round(expected))
     kept = F.lit(True) if least is None else F.col("key") >= least
     return keyed.select(F.col("id").alias(id_col), F.col("ratio").alias("log_ratio"), "weight", "key", kept.alias("kept"))

@@ -348,6 +348,27 @@ def test_importance(spark):
     assert all(r.kept for r in importance.resample(docs.limit(50), labels.limit(0)).collect())
 
 
+def test_importance_of_a_small_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality", "toxic")
+    clean = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    free = sorted(r.doc_id for r in docs.join(labels, "doc_id", "left_anti").collect())
+    planted = docs.where(F.col("doc_id").isin(*free[::8])).select((F.col("doc_id") + 100_000).alias("doc_id"), F.concat("text", F.lit(" You scoundrel, a villain and a swine.")).alias("text"))
+    ids = sorted(r.doc_id for r in planted.collect())
+    marks = spark.createDataFrame([(i, 1, 1) for i in ids[::2]], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in importance.resample(docs.unionByName(planted), labels.unionByName(marks)).collect()}
+    assert len(got) == 200 + len(ids) and len({r.log_ratio for r in got.values()}) > 150
+    assert not any(got[i].kept for i in ids)
+    assert sum(got[i].kept for i in clean) >= 0.9 * len(clean)
+
+
+def test_importance_keeps_all_where_labels_tell_nothing(spark):
+    rnd = random.Random(9)
+    docs = documents(spark, [(i, " ".join(rnd.choice("abcdefghijklmnop") for _ in range(30))) for i in range(200)])
+    labels = spark.createDataFrame([(i, int(rnd.random() < 0.7), 0) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    assert all(r.kept for r in importance.resample(docs, labels).collect())
+
+
 def test_kth_largest(spark, monkeypatch):
     monkeypatch.setattr(importance, "LAST_BIN", 5)
     values = [random.Random(8).gauss(0, 1) for _ in range(500)] + [0.25] * 40

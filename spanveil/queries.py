@@ -404,6 +404,13 @@ def redact_long(spark, sf_dir):
     return batch.redact_long(docs, "doc_id").select("doc_id", "n_spans")
 
 
+# The query above is held against its SQL; few documents pass its filter. This one reads all of them.
+@query()
+def redact_long_all(spark, sf_dir):
+    out = batch.redact_long(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return out.select("doc_id", "n_spans", F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
 # Gold spans against predictions that miss a tail, carry another label, or are absent.
 _PREDICTED = f"""SELECT note_id AS page_id, char_start AS start, char_end - CASE WHEN note_id % 4 = 0 THEN 5 ELSE 0 END AS "end", CASE WHEN note_id % 6 = 1 THEN 'DATE' ELSE label END AS label FROM ({fixtures.GOLD_SQL}) g WHERE note_id % 10 <> 3"""
 _GOLD_EVAL = f"""SELECT note_id AS page_id, label || '@' || CAST(char_start AS STRING) AS id, label, char_start AS gs, char_end AS ge, CAST(NULL AS DOUBLE) AS min_coverage FROM ({fixtures.GOLD_SQL}) g"""

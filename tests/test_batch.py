@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import zipfile
@@ -5,9 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from spanveil import queries
 from spanveil.config import EngineConfig
 from spanveil.operators import evaluate, layout, seams
-from spanveil.plans import batch
+from spanveil.plans import batch, pipeline
 from spanveil.sources import fixtures, readers
 
 
@@ -23,6 +25,27 @@ def test_values_on_window_edges_are_found(spark):
     assert rows[1].redacted.replace("[CPF]", value) == text and (rows[2].n_spans, rows[2].redacted) == (0, "")
 
 
+def test_redact_long_reads_all_documents(spark, tmp_path):
+    values = {"529.982.247-25": "[CPF]", "ana@mail.example.org": "[EMAIL]"}
+    texts, want = {}, {}
+    for i in range(6):
+        parts = ["x " * (5_990 + i)]
+        for value in list(values) * (i % 3):
+            parts += [value, " ", "x " * 6_000]
+        texts[i] = "".join(parts)
+        want[i] = texts[i]
+        for value, placeholder in values.items():
+            want[i] = want[i].replace(value, placeholder)
+    real = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    whole = spark.createDataFrame([(100 + i, t) for i, t in real.items()], "doc_id long, text string")
+    for r in pipeline.detect(whole, "text").select("doc_id", pipeline.redact(F.col("text"), F.col("spans")).alias("redacted")).collect():
+        want[r.doc_id] = r.redacted
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").unionByName(whole).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["redact_long_all"](spark, str(tmp_path)).collect()}
+    assert {i: r.redacted_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert [got[i].n_spans for i in texts] == [0, 2, 4, 0, 2, 4] and any(len(t) > 12_000 for t in real.values())
+
+
 @pytest.mark.parametrize("text", ["", "abc", "a\n" * 4000, "x" * 2500, "ab\n" + "x" * 3000, "x" * 600 + "\n" + "y" * 900])
 def test_parts(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(batch.parts(F.col("t"), 1000).alias("p")).first().p

@@ -96,10 +96,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *(pa.array(np.append(c[at], d)) for c, d in zip(sums, docs, strict=True))], ["bucket", "raw", "good", "bad"])
 
 
+IS_GOOD = "coalesce(quality = 1 and toxic = 0, false)"
+
+
+def share_of_good(labels: DataFrame) -> float | None:
+    """Good ones among all labelled ids, whatever their number; an id with good and bad rows is bad."""
+    ids = labels.where("doc_id is not null").groupBy("doc_id").agg(F.expr(f"min(cast({IS_GOOD} as int))").alias("good"))
+    return ids.agg(F.avg("good")).first()[0]
+
+
 def labelled(labels: DataFrame, good: bool, most: int) -> DataFrame:
     """Ids of at most so many labelled rows, the same ones each time."""
-    is_good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
-    rows = labels.where(F.col("doc_id").isNotNull() & (is_good if good else ~is_good)).select("doc_id").distinct()
+    rows = labels.where(F.col("doc_id").isNotNull() & (F.expr(IS_GOOD) if good else ~F.expr(IS_GOOD))).select("doc_id").distinct()
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
@@ -204,7 +212,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     seen = table.join(marks.withColumnRenamed("doc_id", "id"), "id").select("mark", "ratio").limit(4 * most_labelled).toPandas()
     fit, rest = seen.ratio[seen.mark == GOOD].to_numpy(), seen.ratio[seen.mark == BAD].to_numpy()
     offset = best_offset(fit, rest)
-    prior = min(0.999, max(0.001, len(fit) / max(1, len(seen)))) if len(fit) else 0.999
+    prior = min(0.999, max(0.001, share_of_good(known.join(text.select("doc_id"), "doc_id", "left_semi")))) if len(fit) else 0.999
     excess = F.lit(-500.0) if offset is None else F.least(F.lit(500.0), F.lit(sharpness) * (F.col("ratio") - offset))
     weight = 1 / (prior + (1 - prior) * F.exp(excess))
     noise = -F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) + 0.5) / float(1 << 53)))

@@ -362,6 +362,13 @@ def test_importance_of_a_small_table(spark):
     assert sum(got[i].kept for i in clean) >= 0.9 * len(clean)
 
 
+def test_importance_prior_of_capped_labels(spark):
+    docs = documents(spark, [(i, "scoundrel villain" if i % 4 == 0 else "tree house") for i in range(200)])
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    top = max(r.weight for r in importance.resample(docs, labels, most_labelled=60).collect())
+    assert math.isclose(top, 1 / 0.75, rel_tol=1e-3)
+
+
 def test_importance_keeps_all_where_labels_tell_nothing(spark):
     rnd = random.Random(9)
     docs = documents(spark, [(i, " ".join(rnd.choice("abcdefghijklmnop") for _ in range(30))) for i in range(200)])

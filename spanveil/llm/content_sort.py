@@ -1,12 +1,15 @@
 """Exact dedup by content sort (DataFrame operations only).
 
-Sampled splitters over (first characters of the normalised text, salt) range-partition
-the rows; each partition is sorted externally by (head, salt, normalised text, id), so
-equal texts lie next to each other, and the window operator compares each row's full
-text with its neighbour's to find the runs. The salt cuts a text that very many rows
-share into runs on several tasks; the heads of the runs, one row each, are then joined
-by digest. Splitters are taken over a short head so that the sample on the driver is
-small whatever the texts' lengths; the comparison is always of full texts.
+The rows are sorted by their normalised text: first by its first characters, among equal
+ones by a 64-bit hash of the whole text, then by the text itself, last by id. Sampled
+splitters over the short keys range-partition the rows, so the sample on the driver is
+small whatever the texts' lengths; all rows of a text fall into one partition, which is
+sorted externally, and the window operator compares each row's full text with its
+neighbour's to find the runs of equal texts. Only where one text has more rows than a
+partition should hold, so that a splitter would repeat, its rows are dealt by id to several
+runs, next to each other in the order; there are no more such texts than partitions. The
+first rows of their runs, a bounded number, are then compared in full, and equal ones are
+one group.
 
 Defined results: a null text counts as empty; equal means identical after lower-casing
 A-Z only; a group of one is kept; rows with equal ids and equal texts form one group in
@@ -27,27 +30,29 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAD = 64
 
 
+def sorted_runs(docs: DataFrame, id_col: str, text_col: str, best, falling: bool) -> DataFrame:
+    """One row a document: id, hash, run (0 unless its text is split), run_keep, run_size, sha, and norm for the first row of a run of a split text."""
+    partitions = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).alias("norm")).withColumn("hash", F.xxhash64("norm"))
+    most = max(1, -(-docs.count() // partitions))
+    # at most as many as there are partitions
+    split = write_once(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("hash", F.ceil(F.col("c") / most).cast("int").alias("runs")), "split-texts")
+    dealt = rows.join(F.broadcast(split), "hash", "left").withColumn("head", F.substring("norm", 1, HEAD)).withColumn("run", F.coalesce(F.pmod(F.xxhash64("id"), F.col("runs")), F.lit(0)).cast("int"))
+    ranged = dealt.select("id", "head", "hash", "run", "norm", F.col("runs").isNotNull().alias("split")).repartitionByRange("head", "hash", "run")
+    equal = Window.partitionBy("head", "hash", "run", "norm")
+    first = F.row_number().over(equal.orderBy(F.col("id").desc() if falling else F.col("id").asc())) == 1
+    runs = ranged.withColumn("run_keep", best("id").over(equal)).withColumn("run_size", F.count(F.lit(1)).over(equal)).withColumn("first", first)
+    return runs.select("id", "hash", "run", "run_keep", "run_size", F.sha2("norm", 256).alias("sha"), F.when(F.col("split") & F.col("first"), F.col("norm")).alias("norm"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", retain: str = "smallest") -> DataFrame:
     """One row a document: id, keep_id, group_size, kept, text_sha256; retain: smallest or largest id of a group."""
-    spark = docs.sparkSession
-    salts = max(1, shuffle_partitions(spark))
     best = {"smallest": F.min, "largest": F.max}[retain]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = rows.select(
-        "id", "text", F.translate(F.substring("text", 1, HEAD), UPPER, LOWER).alias("head"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
-    ).repartitionByRange("head", "salt")
-    run = Window.partitionBy("head", "salt", "norm")
-    ordered = run.orderBy(F.col("id").asc() if retain == "smallest" else F.col("id").desc())
-    runs = (
-        ranged.select("id", "head", "salt", F.translate("text", UPPER, LOWER).alias("norm"))
-        .withColumn("run_keep", best("id").over(run))
-        .withColumn("run_size", F.count(F.lit(1)).over(run))
-        .withColumn("first", F.row_number().over(ordered) == 1)
-    )
-    table = write_once(runs.select("id", "salt", "run_keep", "run_size", "first", F.sha2("norm", 256).alias("sha")), "content-sort")
-    heads = table.where("first").select("sha", "salt", "run_keep", "run_size")
-    groups = heads.groupBy("sha").agg(best("run_keep").alias("keep_id"), F.sum("run_size").alias("group_size")).where("group_size > 1")
-    by_run = heads.select("sha", "salt").join(groups, "sha")
-    out = table.select("id", "salt", "sha").join(by_run, ["sha", "salt"], "left")
-    keep_id = F.coalesce("keep_id", "id")
-    return out.select(F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.col("sha").alias("text_sha256"))
+    table = write_once(sorted_runs(docs, id_col, text_col, best, retain == "largest"), "content-sort")
+    # a row a run of the split texts
+    heads = table.where("norm is not null")
+    whole = heads.groupBy("norm").agg(best("run_keep").alias("keep_id"), F.sum("run_size").alias("group_size"))
+    merged = F.broadcast(write_once(heads.join(whole, "norm").select("hash", "run", "sha", "keep_id", "group_size"), "split-groups"))
+    out = table.select("id", "hash", "run", "sha", "run_keep", "run_size").join(merged, ["hash", "run", "sha"], "left")
+    keep_id = F.coalesce("keep_id", "run_keep")
+    return out.select(F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("group_size", "run_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.col("sha").alias("text_sha256"))

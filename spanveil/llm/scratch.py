@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where the setting is absent a temporary one on a local master, elsewhere an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanveil-"))
             current = spark.sparkContext.getCheckpointDir()
         folder = current
@@ -21,9 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/spanveil/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/spanveil/{tag}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
 
 
+#: Paths that were handed out and not deleted since.
+_paths: list[str] = []
 #: Spark then removes a write's shuffle files when it ends, not when the driver next collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch while keep() writes: whole texts come to a few MB then.
@@ -48,11 +54,32 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
     """Delete what keep() wrote; nothing that is still to run may read it."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        _delete(df.sparkSession, df._kept_at)
+        if df._kept_at in _paths:
+            _paths.remove(df._kept_at)
+
+
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_paths)
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete all that was written since a mark, once the results that read it are written themselves; but: a table that stays."""
+    kept = getattr(but, "_kept_at", None)
+    for path in _paths[since:]:
+        if path != kept:
+            _delete(spark, path)
+            _paths.remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -8,7 +8,9 @@ length in their headers.
 
 Reading: the files are read in splits, cut at each occurrence of the magic line, which
 gives every candidate record, also those inside payloads. Each candidate names its
-successor: own offset + header + Content-Length + terminator. Within a split a run of
+successor: own offset + header + Content-Length + terminator. What lies between magics is
+written once with its split and order, so all later steps number it alike, whatever the
+splits of another scan would be. Within a split a run of
 candidates, each the successor of the one before, is contracted to one edge from where
 the chain enters it to where it leaves; pointer jumping over these edges from offset 0
 of each file doubles its reach each round. Candidates that are not reached are parts of
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanveil.llm.scratch import keep
+from spanveil.llm.scratch import discard, keep
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,33 +96,43 @@ def verified(nodes: DataFrame) -> DataFrame:
     entered = exits.select("file", F.col("out").alias("pos")).where("pos is not null").unionByName(members.where("pos = 0").select("file", "pos")).distinct()
     edges = keep(members.join(entered, ["file", "pos"]).join(exits, ["file", "block", "run"]).select("file", "pos", "out", "block", "run"), "warc-edges")
     jump, reach = edges.select("file", "pos", "out"), edges.where("pos = 0").select("file", "pos")
-    seen = -1
+    seen, old = -1, []
     while (now := reach.count()) != seen:
         seen = now
         onward = reach.join(jump, ["file", "pos"]).select("file", F.col("out").alias("pos")).join(edges.select("file", "pos"), ["file", "pos"])
         reach = keep(reach.unionByName(onward).distinct(), "warc-reach")
         jump = keep(jump.join(jump.select("file", F.col("pos").alias("out"), F.col("out").alias("far")), ["file", "out"]).select("file", "pos", F.col("far").alias("out")), "warc-jump")
-    return edges.join(reach, ["file", "pos"]).select("file", "block", "run", F.col("pos").alias("entry"))
+        discard(*old)
+        old = [reach, jump]
+    out = keep(edges.join(reach, ["file", "pos"]).select("file", "block", "run", F.col("pos").alias("entry")), "warc-entered")
+    discard(edges, *old)
+    return out
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row a verified record: file, pos, headers, payload (binary)."""
-    every = keep(candidates(_pieces(spark, path)), "warc-candidates")
+    pieces = keep(_pieces(spark, path), "warc-pieces")
+    every = keep(candidates(pieces), "warc-candidates")
     nodes = every.where("pos is not null")
     order = Window.partitionBy("file", "block").orderBy("pos")
     runs = nodes.withColumn("breaks", F.coalesce((F.lag("succ").over(order) != F.col("pos")).cast("int"), F.lit(1))).withColumn("run", F.sum("breaks").over(order))
     good = verified(nodes)
     judged = runs.join(good, ["file", "block", "run"], "left").withColumn("ok", F.coalesce((F.col("pos") >= F.col("entry")) & F.col("succ").isNotNull(), F.lit(False)))
-    # files with a rejected candidate are few; there, each piece goes to the record before it
+    # files with a rejected candidate are few; there, each piece goes to the record before it, in its split or an earlier one
     odd = keep(judged.where("not ok").select("file").distinct(), "warc-odd")
-    by_file = Window.partitionBy("file").orderBy("pos")
-    owned = judged.join(odd, "file", "left_semi").withColumn("owner", F.last(F.when(F.col("ok"), F.col("pos")), ignorenulls=True).over(by_file))
-    owned = owned.withColumn("until", F.last(F.when(F.col("ok"), F.col("need")), ignorenulls=True).over(by_file))
+    record = F.when(F.col("ok"), F.struct(F.col("pos").alias("owner"), F.col("need").alias("until")))
+    mixed = judged.join(odd, "file", "left_semi").withColumn("record", record)
+    lasts = mixed.groupBy("file", "block").agg(F.max("record").alias("record"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("file", "block", F.last("record", ignorenulls=True).over(earlier).alias("carried"))
+    owned = mixed.withColumn("record", F.last("record", ignorenulls=True).over(order)).join(carried, ["file", "block"])
+    owned = owned.withColumn("record", F.coalesce("record", "carried")).withColumns({"owner": F.col("record.owner"), "until": F.col("record.until")})
     part = F.col("owner").isNull() | ~F.col("ok") | (F.col("n") < F.col("need"))
     parts = keep(owned.where(part).select("file", "id", "owner", "until", "pos"), "warc-parts")
-    raw = _pieces(spark, path).withColumn("bytes", F.col("value").cast("binary"))
+    raw = pieces.withColumn("bytes", F.col("value").cast("binary"))
     heads = F.substring_index("value", END, 1)
     skip = keep(parts.select("file", "id").unionByName(every.where("pos is null").select("file", "id")), "warc-skip")
+    discard(every, odd, good)
     start = F.octet_length(heads) + len(END)
     size = header(heads, "Content-Length").cast("int")
     ends = F.octet_length("value") >= F.octet_length(heads) + len(END)

@@ -38,8 +38,8 @@ def page_text(lines: DataFrame, by: list[str], order: str = "line_no", text: str
     return lines.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p[text]), "\n").alias("text"))
 
 
-def tsv_lines(words: DataFrame, by: list[str]) -> DataFrame:
-    """Lines from recognised words (level, block, par, line, left, top, width, height, conf, text, row): level 5 only, blanks dropped, words by left; in order of first appearance."""
+def tsv_lines(words: DataFrame, by: list[str], keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Lines from recognised words (by, such as file and page; level, block, par, line, left, top, width, height, conf, text, row): level 5 only, blanks dropped, words by left; in order of first appearance; keep: columns of block, par and line to carry along."""
     used = words.where((F.col("level") == 5) & (F.trim("text") != ""))
     word = F.struct("left", "row", F.trim("text").alias("text"), "top", "width", "height")
     lines = used.groupBy(*by, "block", "par", "line").agg(
@@ -55,7 +55,7 @@ def tsv_lines(words: DataFrame, by: list[str]) -> DataFrame:
         ),
         lambda acc: acc["out"],
     )
-    return lines.select(*by, "line_idx", F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("txt"), "x0", "y0", "x1", "y1", "confidence", words_.alias("words"))
+    return lines.select(*by, *keep, "line_idx", F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("txt"), "x0", "y0", "x1", "y1", "confidence", words_.alias("words"))
 
 
 def text_width(text: Column) -> Column:
@@ -155,3 +155,71 @@ def quality_gate(pages: DataFrame, lines: DataFrame, by: list[str], config: Engi
         lambda r: r.isNotNull(),
     )
     return out.select(*by, "chars", "confidence", "min_side", reasons.alias("reasons"))
+
+
+QUAD = "array<struct<x:double,y:double>>"
+#: Fixed value: least side of a box that a user draws.
+LEAST_SIDE = 8
+
+
+def line_quad(line: Column, start: Column, end: Column, config: EngineConfig = EngineConfig()) -> Column:
+    """Corners (top left, top right, bottom right, bottom left) of the part of a line (txt, quad, char_start, char_end) that a span covers; the padding goes along the line's own edges, so turned lines stay covered. Null if none."""
+    a = F.greatest(F.lit(0), start - line["char_start"])
+    b = F.least(line["char_end"] - line["char_start"], end - line["char_start"])
+    n = F.greatest(F.lit(1), line["char_end"] - line["char_start"])
+    fits = F.length(line["txt"]) == n
+    width = lambda at: F.when(fits, text_width(F.substring(line["txt"], F.lit(1), at))).otherwise(at.cast("double"))
+    all_ = F.when(fits, F.greatest(F.lit(0.4), text_width(line["txt"]))).otherwise(n.cast("double"))
+    pad = F.lit(config.bbox_pad_chars) * F.when(fits, all_ / n).otherwise(1.0) / all_
+    ends = F.struct(F.greatest(F.lit(0.0), width(a) / all_ - pad).alias("a"), F.least(F.lit(1.0), width(b) / all_ + pad).alias("b"))
+    corner = lambda i: F.element_at(line["quad"], i)
+
+    def corners(t: Column) -> Column:
+        def point(at: Column, base: bool) -> Column:
+            along = lambda p, q, c: corner(p)[c] + (corner(q)[c] - corner(p)[c]) * at
+            top, bottom = (lambda c: along(1, 2, c)), (lambda c: along(4, 3, c))
+            own, other = (bottom, top) if base else (top, bottom)
+            return F.struct(*[(own(c) + (own(c) - other(c)) * config.bbox_pad_lines).alias(c) for c in ("x", "y")])
+
+        return F.array(point(t["a"], False), point(t["b"], False), point(t["b"], True), point(t["a"], True)).cast(QUAD)
+
+    return F.when(b > a, let(ends, corners))
+
+
+def upright(quad: Column, tolerance: float = 0.5) -> Column:
+    """Sides of a box whose corners stand level and plumb within the tolerance, else null."""
+    p = [F.element_at(quad, i) for i in range(1, 5)]
+    near = lambda i, j, c: F.abs(p[i][c] - p[j][c]) <= tolerance
+    x, y = F.least(p[0]["x"], p[3]["x"]), F.least(p[0]["y"], p[1]["y"])
+    right, low = F.greatest(p[1]["x"], p[2]["x"]), F.greatest(p[2]["y"], p[3]["y"])
+    fine = near(0, 1, "y") & near(2, 3, "y") & near(0, 3, "x") & near(1, 2, "x") & (right > x) & (low > y)
+    return F.when(fine, F.struct(x.alias("x0"), y.alias("y0"), right.alias("x1"), low.alias("y1")).cast(SIDES))
+
+
+def drawn_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
+    """The box between two points that a user drew, inside the image; null if a side is below the least."""
+    clip = lambda v, most: F.greatest(F.lit(0.0), F.least(most.cast("double"), v.cast("double")))
+    xs, ys = (clip(x1, width), clip(x2, width)), (clip(y1, height), clip(y2, height))
+    sides = F.struct(F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1")).cast(SIDES)
+    return F.when((F.abs(x1 - x2) >= LEAST_SIDE) & (F.abs(y1 - y2) >= LEAST_SIDE), sides)
+
+
+def any_line_gate(pages: DataFrame, lines: DataFrame, by: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
+    """by, accepted: a page is refused if it has no line or any line is below the confidence."""
+    weak = lines.groupBy(*by).agg(F.max(F.col("confidence") < config.min_confidence).alias("weak"))
+    return pages.select(*by).join(weak, by, "left").select(*by, F.coalesce(~F.col("weak"), F.lit(False)).alias("accepted"))
+
+
+def display_groups(entities: DataFrame, by: list[str]) -> DataFrame:
+    """Mapped entities by upper-case label with their numbers (column index), groups by falling size: by, label, n, indices, rank."""
+    mapped = entities.where(~F.col("unmapped"))
+    out = mapped.groupBy(*by, F.upper("label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("index")).alias("indices"))
+    # of equal groups the one with the earlier first entity stands first
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), F.element_at("indices", 1))
+    return out.withColumn("rank", F.row_number().over(order))
+
+
+def blocks(lines: DataFrame, by: list[str]) -> DataFrame:
+    """What a response shows of each line: text, its corners and confidence."""
+    quad = F.col("quad") if "quad" in lines.columns else F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    return lines.select(*by, "line_no", F.col("txt").alias("text"), quad.cast(QUAD).alias("bbox"), "confidence", "char_start", "char_end")

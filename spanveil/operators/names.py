@@ -14,15 +14,18 @@ from spanveil.labels import PERSON_LABELS
 from spanveil.schemas import SPAN, SPANS
 
 # Small words inside names, titles, and words that end a name.
-CONNECTIVES = "de da do dos das e del di du van von der la le".split()
-TITLES = "dr dra drs doutor doutora sr sra srta prof profa professor professora".split()
+CONNECTIVES = (
+    "de", "da", "do", "dos", "das", "e", "del", "di", "du", "van", "von", "der", "la", "le",
+)
+TITLES = (
+    "dr", "dra", "drs", "doutor", "doutora", "sr", "sra", "srta", "prof", "profa", "professor", "professora",
+)
 STOPWORDS = (
-    "crm crmv cro crf crbm coren crefito crn crp cns cnes rqe uf sp rj mg rs pr ba pe "
-    "registro prontuario prontuário matricula matrícula idade data convenio convênio plano carteirinha "
-    "sexo telefone celular email endereco endereço cpf rg guia senha leito quarto setor "
-    "especialidade exame solicitante requisitante executante responsavel responsável clinica clínica hospital "
-    "laboratorio laboratório unidade operadora codigo código assinatura carimbo obs observacoes observações"
-).split()
+    "crm", "crmv", "cro", "crf", "crbm", "coren", "crefito", "crn", "crp", "cns", "cnes", "rqe", "uf", "sp", "rj", "mg", "rs", "pr", "ba", "pe", "registro", "prontuario",
+    "prontuário", "matricula", "matrícula", "idade", "data", "convenio", "convênio", "plano", "carteirinha", "sexo", "telefone", "celular", "email", "endereco", "endereço", "cpf",
+    "rg", "guia", "senha", "leito", "quarto", "setor", "especialidade", "exame", "solicitante", "requisitante", "executante", "responsavel", "responsável", "clinica", "clínica",
+    "hospital", "laboratorio", "laboratório", "unidade", "operadora", "codigo", "código", "assinatura", "carimbo", "obs", "observacoes", "observações",
+)
 # Fixed value: words of a form that stand before a person's name.
 FIELD = (
     r"\b(?:pacientes?|pac|nome(?:\s+(?:completo|do\s+paciente|da\s+m[aã]e|social))?|m[eé]dic[oa]|doutor[a]?|dr[a]?|solicitante|requisitante|executante|"

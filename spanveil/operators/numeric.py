@@ -26,10 +26,10 @@ IDENTIFIERS = (
 )
 # Words that name a measure; up to four letters they must stand alone.
 MEASURES = (
-    "dbp ccn cc ca cf cn ila bcf fc fr pa spo2 sat peso altura comprimento diametro espessura volume vol medida area imc percentil grau graus ig".split()
-    + ["idade gestacional"]
-    + "hb ht hto vcm hcm chcm rdw dose dosagem valor qtde quantidade frequencia pressao temperatura saturacao indice".split()
-)
+    "dbp", "ccn", "cc", "ca", "cf", "cn", "ila", "bcf", "fc", "fr", "pa", "spo2", "sat", "peso", "altura", "comprimento", "diametro", "espessura", "volume", "vol", "medida",
+    "area", "imc", "percentil", "grau", "graus", "ig", "idade gestacional", "hb", "ht", "hto", "vcm", "hcm", "chcm", "rdw", "dose", "dosagem", "valor", "qtde", "quantidade",
+    "frequencia", "pressao", "temperatura", "saturacao", "indice",
+)
 # Fixed value: units that may follow.
 UNIT = (
     r"(?iuU)^[\s.:,]{0,3}(?:mm3|cm3|mm2|cm2|mmhg|mcg|kcal|bpm|rpm|mg/dl|g/dl|ng/ml|u/l|ui|ml|dl|mg|kg|ug|fl|pg|hz|db|cm|mm|graus?|semanas?|sem\b|"

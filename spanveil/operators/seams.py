@@ -74,9 +74,21 @@ def _occurrences(text: Column, pattern: Column) -> Column:
 
 
 def parse_response(reply: Column) -> Column:
-    """Entities of a model's reply: the object from the first brace to the last; null where it does not parse."""
+    """(entities, error) of a model's reply: the object from the first brace to the last; items without a text are left out, a missing label is ID.
+
+    Fails closed: a reply without such an object, or whose entities are no list, has an
+    error and no entities, and must not be read as "nothing found".
+    """
     inner = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    return F.from_json(inner, "struct<entities:array<struct<text:string,label:string>>>")["entities"]
+    found = F.get_json_object(inner, "$.entities")
+    # a text that is no string is left out, a label of another kind is taken as it is written
+    items = F.from_json(found, "array<string>")
+    whole = F.when(F.coalesce(inner, F.lit("")) == "", "no_json").when(F.get_json_object(inner, "$").isNull(), "bad_json").when(~F.startswith(F.coalesce(F.ltrim(found), F.lit("")), F.lit("[")) | items.isNull(), "bad_shape")
+    text = lambda i: F.get_json_object(i, "$.text")
+    is_text = lambda i: F.try_variant_get(F.try_parse_json(i), "$.text", "string").isNotNull() & (F.schema_of_variant(F.try_variant_get(F.try_parse_json(i), "$.text", "variant")) == "STRING")
+    good = F.filter(items, lambda i: F.coalesce(is_text(i), F.lit(False)))
+    made = F.transform(good, lambda i: F.struct(text(i).alias("text"), F.upper(F.coalesce(F.get_json_object(i, "$.label"), F.lit("ID"))).alias("label")))
+    return F.struct(F.when(whole.isNull(), made).alias("entities"), whole.alias("error"))
 
 
 def apply_overrides(spans: DataFrame, overrides: DataFrame, manual: DataFrame, key: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanveil.config import EngineConfig
 from spanveil.functions.text import cut, let
 from spanveil.operators.spans import union_windows
+from spanveil.plans.chunking import chunks
 from spanveil.plans.pipeline import detect, redact
 
 # Suffixes that a batch reads.
@@ -58,34 +59,25 @@ def parts(text: Column, limit: int) -> Column:
     def step(acc: Column, _: Column) -> Column:
         def one(head: Column) -> Column:
             back = F.position(F.lit("\n"), F.reverse(head))
-            at = F.when((F.length(acc["rest"]) <= limit) | (back == 0), F.length(head)).otherwise(F.length(head) - back + 1)
-            size = F.when((F.length(acc["rest"]) > limit) & (at < limit // 2), F.lit(limit)).otherwise(at)
-            return F.struct(F.substring(acc["rest"], size + 1, F.length(acc["rest"])).alias("rest"), F.when(F.length(acc["rest"]) > 0, F.concat(acc["out"], F.array(F.substring(head, F.lit(1), size)))).otherwise(acc["out"]).alias("out"))
+            more = F.length(text) - acc["at"] > limit
+            # without a line break the cut stands at the start, below half of the limit
+            found = F.when(back > 0, F.length(head) - back + 1).otherwise(F.lit(0))
+            size = F.when(~more, F.length(head)).when(F.greatest(F.lit(0), found - 1) < limit // 2, F.lit(limit)).otherwise(found)
+            return F.struct((acc["at"] + size).cast("int").alias("at"), F.concat(acc["out"], F.array(F.substring(head, F.lit(1), size))).alias("out"))
 
-        return let(F.substring(acc["rest"], F.lit(1), F.lit(limit)), one)
+        return F.when(acc["at"] < F.length(text), let(F.substring(text, acc["at"] + 1, F.lit(limit)), one)).otherwise(acc)
 
     rounds = F.sequence(F.lit(1), F.ceil(2 * F.length(text) / limit).cast("int") + 1)
-    start = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     return F.aggregate(rounds, start, step, lambda acc: acc["out"])
 
 
-def chunks(text: Column, limit: int) -> Column:
-    """Chunks for a model: at most limit characters, back to the last line break in the window, which then begins the next chunk."""
-
-    def step(acc: Column, _: Column) -> Column:
-        def one(head: Column) -> Column:
-            back = F.position(F.lit("\n"), F.reverse(head))
-            at = F.length(head) - back
-            size = F.when((F.length(acc["rest"]) > limit) & (back > 0) & (at > 0), at).otherwise(F.length(head))
-            made = F.struct(acc["at"].alias("start"), F.substring(head, F.lit(1), size).alias("chunk"))
-            return F.struct((acc["at"] + size).cast("int").alias("at"), F.substring(acc["rest"], size + 1, F.length(acc["rest"])).alias("rest"), F.when(F.length(acc["rest"]) > 0, F.concat(acc["out"], F.array(made))).otherwise(acc["out"]).alias("out"))
-
-        return let(F.substring(acc["rest"], F.lit(1), F.lit(limit)), one)
-
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
-    rounds = F.sequence(F.lit(1), (F.ceil(F.length(text) / limit) + lines).cast("int"))
-    start = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<struct<start:int,chunk:string>>").alias("out"))
-    return F.aggregate(rounds, start, step, lambda acc: acc["out"])
+def numbered_parts(texts: DataFrame, key: str, limit: int, text: str = "text") -> DataFrame:
+    """key, part (from 1), name, part_text, sha256, chars of the parts of each text."""
+    cut_up = texts.select(key, F.posexplode(parts(F.coalesce(F.col(text), F.lit("")), limit)).alias("at", "part_text"))
+    number = F.col("at") + 1
+    name = F.concat(F.lit("parte-"), F.lpad(number.cast("string"), 4, "0"), F.lit(".txt"))
+    return cut_up.select(key, number.alias("part"), F.when(number > 9999, F.concat(F.lit("parte-"), number.cast("string"), F.lit(".txt"))).otherwise(name).alias("name"), "part_text", F.sha2("part_text", 256).alias("sha256"), F.length("part_text").alias("chars"))
 
 
 def signature(config: EngineConfig, rules: str, inventory_hash: str) -> str:
@@ -117,6 +109,7 @@ def neutral_name(template: Column, base: Column, date: Column, ident: Column, ex
     return name
 
 
-def totals(units: DataFrame) -> DataFrame:
-    """Units, characters, substitutions and the exit state of a batch."""
-    return units.agg(F.count(F.lit(1)).alias("units"), F.sum("chars").alias("chars"), F.sum("n_spans").alias("substitutions"), F.when(F.max((F.col("status") != "done").cast("int")) == 1, "pending").otherwise("review").alias("state"))
+def totals(units: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Units, characters, substitutions and the exit state of a batch, or of each of several."""
+    state = F.when(F.max((F.col("status") != "done").cast("int")) == 1, "pending").otherwise("review")
+    return units.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.sum("chars").alias("chars"), F.sum("n_spans").alias("substitutions"), state.alias("state"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil import labels
 from spanveil.config import EngineConfig
 from spanveil.functions.text import alnum_count, cut, digit_count, let, matches
-from spanveil.operators import names, numeric, rules, snap, spans
+from spanveil.operators import names, numeric, rules, seams, snap, spans
+from spanveil.plans.chunking import chunks
 from spanveil.schemas import SPAN, SPANS
 
 
@@ -84,6 +88,48 @@ def detect(df: DataFrame, text_col: str = "text", model_col: str | None = None,
     return df.withColumn(out, spans.finalize(text, step)).drop("_spans", "_model")
 
 
+def model_spans(texts: DataFrame, key: str, model: Callable[[DataFrame], DataFrame], config: EngineConfig = EngineConfig(), text: str = "text") -> DataFrame:
+    """key, e, part: a model's spans over the chunks of each text, and its second look at lines in capitals that no name touches.
+
+    model: takes (key, chunk), gives (key, entity_group, score, start, end) with offsets in
+    the chunk; a row of chunks has a key of its own.
+    """
+    piece = F.inline(chunks(F.coalesce(F.col(text), F.lit("")), config.model_chunk_chars))
+    pieces = texts.select(key, piece).select(F.struct(F.col(key), "start").alias("at"), "chunk")
+    raw = model(pieces)
+    entity = lambda offset: F.struct("entity_group", "score", "start", "end", F.lit("").alias("word"), offset.alias("chunk_offset"))
+    seen = raw.select(F.col(f"at.{key}").alias(key), normal_model_spans(entity(F.col("at.start")), config.model_floor).alias("e")).where("e is not null").withColumn("part", F.lit(0))
+    if not config.caps_retry:
+        return seen
+    names_found = seen.select(key, "e.start", "e.end", "e.label")
+    probe = seams.caps_probe(texts, names_found, key, text)
+    joined = probe.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "probe"))), lambda p: p["probe"]), "\n").alias("chunk"))
+    again = model(joined.select(F.struct(F.col(key), F.lit(0).alias("start")).alias("at"), "chunk"))
+    again = again.select(F.col(f"at.{key}").alias(key), normal_model_spans(entity(F.lit(0)), config.model_floor).alias("e")).where(F.col("e").isNotNull() & F.upper("e.label").isin(*seams.NAMES))
+    back = seams.caps_back(again.select(key, "e.*"), probe, key)
+    return seen.unionByName(back.select(key, F.struct(*[f for f in _fields(SPAN)]).cast(SPAN).alias("e")).withColumn("part", F.lit(1)))
+
+
+def _fields(kind: str) -> list[str]:
+    return [f.split(":")[0] for f in kind.removeprefix("struct<").removesuffix(">").split(",")]
+
+
+def detect_with(texts: DataFrame, key: str, model: Callable[[DataFrame], DataFrame] | None = None, suggestions: DataFrame | None = None, text: str = "text", out: str = "spans", config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Adds the spans of each text (with a key of its own) from the rules, a model and located suggestions (key, value, label)."""
+    sources = []
+    if model is not None:
+        sources.append(model_spans(texts, key, model, config, text))
+    if suggestions is not None:
+        found = seams.suggested(texts, suggestions, key, text).where("located")
+        e = F.struct("start", "end", "label", F.lit("").alias("txt"), "score", "origin", F.lit(False).alias("validated"), F.lit(False).alias("strong")).cast(SPAN)
+        sources.append(found.select(key, e.alias("e"), F.lit(2).alias("part")))
+    if not sources:
+        return detect(texts, text, out=out, config=config)
+    every = reduce(DataFrame.unionByName, sources)
+    arrays = every.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "e"))), lambda x: x["e"]).alias("_found"))
+    return detect(texts.join(arrays, key, "left"), text, model_col="_found", out=out, config=config).drop("_found")
+
+
 def redact(text: Column, found: Column) -> Column:
     """The text with a placeholder for each of its disjoint spans, which come in order."""
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

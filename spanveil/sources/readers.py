@@ -32,11 +32,35 @@ def gold(spark: SparkSession, path: str, only: str = "") -> DataFrame:
     return checked.select("doc_id", "doc_type", "schema_version", F.posexplode(F.coalesce("pages", F.array("page"))).alias("page_index", "page"))
 
 
+TSV_COLUMNS = ("level", "page", "block", "par", "line", "word", "left", "top", "width", "height", "conf", "text")
+
+
 def tsv_words(spark: SparkSession, path: str) -> DataFrame:
-    """Recognised words with their row number in the file."""
-    schema = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
-    raw = spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").csv(path)
-    return raw.select("level", F.col("block_num").alias("block"), F.col("par_num").alias("par"), F.col("line_num").alias("line"), "left", "top", "width", "height", "conf", "text", F.monotonically_increasing_id().alias("row"))
+    """Recognised words of tab-separated files, each small: file, level, page, block, par, line, left, top, width, height, conf, text, row (in the file)."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n", -1).alias("rows"))
+    lines = raw.select("file", F.posexplode("rows").alias("row", "line")).where((F.col("row") > 0) & (F.col("line") != ""))
+    field = F.split("line", "\t", len(TSV_COLUMNS))
+    kinds = dict.fromkeys(TSV_COLUMNS, "int") | {"conf": "double", "text": "string"}
+    columns = [F.try_element_at(field, F.lit(i)).try_cast(kinds[c]).alias(c) for i, c in enumerate(TSV_COLUMNS, 1) if c != "word"]
+    return lines.select("file", *columns, F.col("row").cast("long").alias("row"))
+
+
+def detections(raw: DataFrame, by: list[str], column: str = "json") -> DataFrame:
+    """by, line_idx, txt, quad, sides, confidence from a detector's nested output: lists [box, [text, score]], bare or in a list a page; malformed ones are left out."""
+    bare = F.from_json(column, "array<string>")
+    # in a wrapped page the first detection's box, a list of points, lies one list deeper
+    first = F.from_json(F.try_element_at(bare, F.lit(1)), "array<string>")
+    inner = F.from_json(F.try_element_at(first, F.lit(1)), "array<string>")
+    wrapped = F.regexp_like(F.try_element_at(inner, F.lit(1)), F.lit(r"^\s*\[\s*\["))
+    rows = F.when(F.coalesce(wrapped, F.lit(False)), first).otherwise(bare)
+    out = raw.select(*by, F.posexplode_outer(rows).alias("line_idx", "det")).where("det is not null")
+    part = F.from_json("det", "array<string>")
+    recog = F.from_json(F.try_element_at(part, F.lit(2)), "array<string>")
+    points = F.from_json(F.try_element_at(part, F.lit(1)), "array<array<double>>")
+    out = out.select(*by, "line_idx", F.try_element_at(recog, F.lit(1)).alias("txt"), F.try_element_at(recog, F.lit(2)).try_cast("double").alias("confidence"), F.transform(points, lambda p: F.struct(F.try_element_at(p, F.lit(1)).alias("x"), F.try_element_at(p, F.lit(2)).alias("y"))).alias("quad"))
+    fine = F.col("txt").isNotNull() & F.col("confidence").isNotNull() & (F.size("quad") > 0) & F.forall("quad", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    side = lambda f, c: f(F.transform("quad", lambda p: p[c]))
+    return out.where(F.coalesce(fine, F.lit(False))).withColumns({"x0": side(F.array_min, "x"), "y0": F.element_at("quad", 1)["y"], "x1": side(F.array_max, "x"), "y1": side(F.array_max, "y")})
 
 
 #: Parts of a word-processor file that hold text, after the document itself in name order.

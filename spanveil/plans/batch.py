@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from spanveil.config import EngineConfig
 from spanveil.functions.text import cut, let
 from spanveil.operators.spans import union_windows
-from spanveil.plans.chunking import chunks
 from spanveil.plans.pipeline import detect, redact
 
 # Suffixes that a batch reads.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +60,9 @@ def present(xs: Column) -> Column:
     return F.filter(xs, lambda e: e.isNotNull())
 
 
-def detect(df: DataFrame, text_col: str = "text", model_col: str | None = None, out: str = "spans", config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Adds the disjoint spans of each text; model_col: an array of spans from another source. The order of the steps matters: the threshold comes after the merge."""
+@lru_cache(maxsize=64)
+def _steps(text_col: str, model_col: str | None, config: EngineConfig, gateway: int) -> list[tuple[str, Column]]:
+    """The columns of detect, one after the other. They name columns and are bound to no table, so a session builds them once; gateway: of the session."""
     text, step = F.coalesce(F.col(text_col), F.lit("")), F.col("_spans")
     threshold = F.lit(config.threshold)
     found = F.concat(rules.scan(text), names.labelled_names(text))
@@ -72,20 +73,29 @@ def detect(df: DataFrame, text_col: str = "text", model_col: str | None = None,
         source = F.coalesce(F.col(model_col), F.array().cast(SPANS))
     else:
         source = None
+    out = []
     if source is not None:
-        df = df.withColumn("_model", F.transform(F.filter(source, lambda e: e["end"] > e["start"]), lambda e: snap.snap(text, e)))
+        out.append(("_model", F.transform(F.filter(source, lambda e: e["end"] > e["start"]), lambda e: snap.snap(text, e))))
         found = F.concat(F.col("_model"), found)
-    df = df.withColumn("_spans", F.when(blank, F.array().cast(SPANS)).otherwise(found))
-    df = df.withColumn("_spans", spans.reslice(text, step))
-    df = df.withColumn("_spans", spans.dedup(step))
-    df = df.withColumn("_spans", present(F.transform(step, spans.promote)))
+    out.append(("_spans", F.when(blank, F.array().cast(SPANS)).otherwise(found)))
+    out.append(("_spans", spans.reslice(text, step)))
+    out.append(("_spans", spans.dedup(step)))
+    out.append(("_spans", present(F.transform(step, spans.promote))))
     if source is not None:
-        df = df.withColumn("_spans", present(F.transform(step, lambda e: F.when(e["label"] == "NUM_CANDIDATE", numeric.classify(text, e)).otherwise(e))))
-    df = df.withColumn("_spans", spans.merge(text, step))
+        out.append(("_spans", present(F.transform(step, lambda e: F.when(e["label"] == "NUM_CANDIDATE", numeric.classify(text, e)).otherwise(e)))))
+    out.append(("_spans", spans.merge(text, step)))
     if source is not None:
-        df = df.withColumn("_spans", present(F.transform(step, lambda e: survivor(text, e, threshold))))
-    df = df.withColumn("_spans", F.transform(step, lambda e: names.expand(text, e)))
-    return df.withColumn(out, spans.finalize(text, step)).drop("_spans", "_model")
+        out.append(("_spans", present(F.transform(step, lambda e: survivor(text, e, threshold)))))
+    out.append(("_spans", F.transform(step, lambda e: names.expand(text, e))))
+    out.append(("_spans", spans.finalize(text, step)))
+    return out
+
+
+def detect(df: DataFrame, text_col: str = "text", model_col: str | None = None, out: str = "spans", config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Adds the disjoint spans of each text; model_col: an array of spans from another source. The order of the steps matters: the threshold comes after the merge."""
+    for name, column in _steps(text_col, model_col, config, id(df.sparkSession.sparkContext._gateway)):
+        df = df.withColumn(name, column)
+    return df.withColumnRenamed("_spans", out).drop("_model")
 
 
 def model_spans(texts: DataFrame, key: str, model: Callable[[DataFrame], DataFrame], config: EngineConfig = EngineConfig(), text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanveil import queries
 from spanveil.config import EngineConfig
 from spanveil.operators import evaluate, layout, seams
-from spanveil.plans import batch, pipeline
+from spanveil.plans import batch, chunking, pipeline
 from spanveil.sources import fixtures, readers
 
 
@@ -41,7 +41,7 @@ def test_redact_long_reads_all_documents(spark, tmp_path):
     for r in pipeline.detect(whole, "text").select("doc_id", pipeline.redact(F.col("text"), F.col("spans")).alias("redacted")).collect():
         want[r.doc_id] = r.redacted
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").unionByName(whole).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in queries.QUERIES["redact_long_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in queries.QUERIES["redact_long"](spark, str(tmp_path)).collect()}
     assert {i: r.redacted_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
     assert [got[i].n_spans for i in texts] == [0, 2, 4, 0, 2, 4] and any(len(t) > 12_000 for t in real.values())
 
@@ -53,7 +53,7 @@ def test_parts(spark, text):
 
 
 def test_chunks_begin_with_the_line_break(spark):
-    got = spark.createDataFrame([("aaaa\nbbbb\ncc",)], "t string").select(batch.chunks(F.col("t"), 7).alias("p")).first().p
+    got = spark.createDataFrame([("aaaa\nbbbb\ncc",)], "t string").select(chunking.chunks(F.col("t"), 7).alias("p")).first().p
     assert [(c.start, c.chunk) for c in got] == [(0, "aaaa"), (4, "\nbbbb"), (9, "\ncc")]
 
 
@@ -146,6 +146,6 @@ def test_tsv_words(spark):
     assert [(w.a, w.b) for w in got[0].words] == [(0, 2), (3, 7)]
 
 
-def test_fuzzy_and_causes(spark):
+def test_fuzzy_contains(spark):
     df = spark.createDataFrame([("n. 123.456-7", "1234567"), ("n. 1234067", "1234567"), ("n. 1230067", "1234567"), ("  JOÃO  da", "joao DA"), ("x", "123456")], "t string, v string")
     assert [r[0] for r in df.select(evaluate.fuzzy_contains(F.col("t"), F.col("v"))).collect()] == [True, True, False, True, False]

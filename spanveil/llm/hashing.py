@@ -1,8 +1,11 @@
 """Word and n-gram hashes of many texts at once, over the UTF-8 bytes.
 
-A chunk is the bytes of consecutive documents. A word's hash is a polynomial over table
-values of its bytes, taken as a difference of prefix sums modulo 2^64 and moved to the
-word's start by the inverse power; n-grams are the same over word hashes.
+A chunk is the bytes of consecutive documents. A word's hash adds one random 64-bit value
+for each byte, from a table by the byte and its place in the word (tabulation hashing), so
+any two given words collide with probability 2^-64 over the tables; words longer than
+``PLACES`` bytes are cut into blocks, whose hashes are hashed in the same way. An n-gram
+is a tree of such values, mixed at each node. Bytes are worked on a bounded number at a
+time, so a long text costs a few bytes a byte.
 """
 
 from __future__ import annotations
@@ -12,14 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes of a chunk, unless one document is longer.
-CHUNK_BYTES = 1 << 20
+#: Text bytes of a chunk, unless one document is longer; bytes that are hashed at once.
+CHUNK_BYTES, STEP_BYTES = 1 << 20, 1 << 18
+#: Places of a word that have values of their own.
+PLACES = 32
 _M64 = (1 << 64) - 1
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = h.copy()
-    h ^= h >> np.uint64(32)
+    h = h ^ (h >> np.uint64(32))
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -27,34 +31,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def byte_table(seed: int, lower: bool) -> np.ndarray:
-    t = np.random.default_rng(seed).integers(1, _M64, 256, dtype=np.uint64)
-    if lower:
-        t[65:91] = t[97:123]
-    return t
-
-
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+class Table:
+    """Values by place and byte; those of blocks of longer words come from further tables of the seed."""
 
+    def __init__(self, seed: int, lower: bool = False):
+        t = np.random.default_rng(seed).integers(1, _M64, (PLACES, 256), dtype=np.uint64)
+        if lower:
+            t[:, 65:91] = t[:, 97:123]
+        self.seed, self.values = seed, t.ravel()
 
-class Powers:
-    """Powers of an odd base modulo 2^64 and their inverses, as long as asked for."""
+    def above(self) -> Table:
+        return Table(self.seed + 1_000_003)
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            a, b = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
-            a[0] = b[0] = 1
-            self.up, self.down = np.cumprod(a), np.cumprod(b)
-        return self.up, self.down
-
-
-BYTES, WORDS, WORDS2 = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F), Powers(0xA0761D6478BD642F)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -73,39 +64,74 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
 
 def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and per document the index of its first word (one more at the end)."""
-    if not len(data):
-        none = np.empty(0, np.int64)
-        return none, none, np.zeros(len(off), np.int64)
-    word = ~SPACE[data]
-    begin = word.copy()
-    begin[1:] &= ~word[:-1]
-    inner = off[:-1][off[:-1] < len(data)]
-    begin[inner] = word[inner]
-    end = word.copy()
-    end[:-1] &= ~word[1:]
-    last = off[1:][off[1:] > 0] - 1
-    end[last] = word[last]
-    starts = np.flatnonzero(begin)
-    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, off)
-
-
-def word_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial of the values of each word."""
-    up, down = BYTES.upto(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return mix(word_sums(table[data], starts, ends))
-
-
-def ngrams(h: np.ndarray, n: int, powers: Powers = WORDS) -> np.ndarray:
+    starts, ends = [], []
+    for a in range(0, len(data), CHUNK_BYTES):
+        b = min(len(data), a + CHUNK_BYTES)
+        word = ~SPACE[data[a:b]]
+        before = np.append(a > 0 and not SPACE[data[a - 1]], word[:-1])
+        # a document's first byte follows nothing
+        bounds = off[(off >= a) & (off < b)] - a
+        before[bounds] = False
+        starts.append(np.flatnonzero(word & ~before) + a)
+        after = np.append(word[1:], b < len(data) and not SPACE[data[b]])
+        bounds = off[(off > a) & (off <= b)] - a - 1
+        after[bounds] = False
+        ends.append(np.flatnonzero(word & ~after) + a + 1)
+    none = np.empty(0, np.int64)
+    first, last = (np.concatenate(x) if x else none for x in (starts, ends))
+    return first, last, np.searchsorted(first, off)
+
+
+def runs(starts: np.ndarray, ends: np.ndarray, size: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Words a to b at a time, of about size bytes together unless one is longer."""
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + size, "right")))
+        yield a, b
+        a = b
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: Table) -> np.ndarray:
+    out = np.empty(len(starts), np.uint64)
+    for a, b in runs(starts, ends):
+        s, e = starts[a:b] - starts[a], ends[a:b] - starts[a]
+        if b == a + 1 and e[0] > PLACES:
+            continue
+        own = data[starts[a] : ends[b - 1]]
+        place = np.arange(len(own), dtype=np.int32) - np.repeat(s.astype(np.int32), np.diff(np.append(s, len(own))))
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(table.values[((place & (PLACES - 1)) << 8) | own], out=total[1:])
+        out[a:b] = mix(total[e] - total[s])
+    long = np.flatnonzero(ends - starts > PLACES)
+    if len(long):
+        out[long] = _long_words(data, starts[long], ends[long], table)
+    return out
+
+
+def _long_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: Table) -> np.ndarray:
+    """Words as the bytes of the hashes of their blocks, and so on until one block is left."""
+    n = -(-(ends - starts) // PLACES)
+    word = np.repeat(np.arange(len(n)), n)
+    a = starts[word] + PLACES * (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n))
+    blocks = word_hashes(data, a, np.minimum(a + PLACES, ends[word]), table)
+    last = 8 * np.cumsum(n)
+    return word_hashes(blocks.view(np.uint8), last - 8 * n, last, table.above())
+
+
+def ngrams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """The hash of h[i : i + n] for each i that has so many after it; the caller drops those across documents."""
     if len(h) < n:
         return np.empty(0, np.uint64)
-    up, down = powers.upto(len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
+    out, done, level, width = None, 0, h, 1
+    while True:
+        if n & width:
+            out = level if out is None else _pair(out, level[done:], salt)
+            done += width
+        if 2 * width > n:
+            return out if n > 1 else mix(out ^ np.uint64(salt))
+        level, width = _pair(level, level[width:], salt), 2 * width
+
+
+def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    n = min(len(a), len(b))
+    return mix(mix(a[:n] ^ np.uint64(salt + 1)) + b[:n])

@@ -46,39 +46,50 @@ SHARPNESS, SEED = 16.0, 5
 #: The k-th key is read off once so few keys are in its bin.
 LAST_BIN, BINS = 4096, 1024
 
-_rng = np.random.default_rng(SEED)
-_random = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-LETTER = np.zeros(256, np.uint64)
-LETTER[97:123] = LETTER[65:91] = _random[97:123]
-LETTER[128:] = _random[128:]
+#: Values of letters and of bytes beyond ASCII by their place in a word; all else counts nothing.
+LETTERS = hashing.Table(SEED, lower=True)
+_other = [i for i in range(128) if not chr(i).isalpha()]
+LETTERS.values.reshape(-1, 256)[:, _other] = 0
 SIGN = np.zeros(256, np.uint64)
 _signs = [i for i in range(33, 127) if not chr(i).isalnum()]
-SIGN[_signs] = _random[_signs]
+SIGN[_signs] = np.random.default_rng(SEED + 1).integers(1, 1 << 63, len(_signs), dtype=np.uint64)
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket), each word's and each pair of shapes'; a pair may repeat."""
-    starts, ends, first = hashing.spans(data, off)
-    words = hashing.mix(hashing.word_sums(LETTER[data], starts, ends))
-    signs = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(SIGN[data], out=signs[1:])
-    capitals = np.zeros(len(data) + 1, np.int32)
-    np.cumsum((data >= 65) & (data <= 90), out=capitals[1:])
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    again = np.zeros(len(words), bool)
-    again[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
-    style = np.minimum(capitals[ends] - capitals[starts], 2).astype(np.uint64) * np.uint64(3) + again.astype(np.uint64)
-    shapes = hashing.mix((signs[ends] - signs[starts]) * np.uint64(11) + style + np.uint64(1))
-    pairs = shapes.copy()
-    same = doc[1:] == doc[:-1]
-    pairs[1:] += np.where(same, shapes[:-1], np.uint64(0)) * np.uint64(31)
-    buckets = np.concatenate([words % np.uint64(WORD_BUCKETS), np.uint64(WORD_BUCKETS) + hashing.mix(pairs) % np.uint64(SHAPE_BUCKETS)])
-    return np.concatenate([doc, doc]), buckets.astype(np.int64)
+#: Words whose features are made at once.
+STEP_WORDS = 1 << 18
 
 
-def _present(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(doc * (WORD_BUCKETS + SHAPE_BUCKETS) + bucket)
-    return both // (WORD_BUCKETS + SHAPE_BUCKETS), both % (WORD_BUCKETS + SHAPE_BUCKETS)
+def features(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, bucket), each word's and each pair of shapes', a bounded number of words at a time; a pair may repeat."""
+    starts, ends, first = hashing.spans(data, off)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    none = np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.full(1, -1)
+    word_before, shape_before, doc_before = none
+    for a, b in hashing.runs(starts, ends, 8 * STEP_WORDS):
+        s, e, own = starts[a:b], ends[a:b], doc[a:b]
+        part = data[s[0] : e[-1]]
+        s, e = s - s[0], e - s[0]
+        words = hashing.word_hashes(part, s, e, LETTERS)
+        signs, capitals = np.zeros(len(part) + 1, np.uint64), np.zeros(len(part) + 1, np.int32)
+        np.cumsum(SIGN[part], out=signs[1:])
+        np.cumsum((part >= 65) & (part <= 90), out=capitals[1:])
+        same = own == np.append(doc_before, own[:-1])
+        again = same & (words == np.append(word_before, words[:-1]))
+        style = np.minimum(capitals[e] - capitals[s], 2).astype(np.uint64) * np.uint64(3) + again.astype(np.uint64)
+        shapes = hashing.mix((signs[e] - signs[s]) * np.uint64(11) + style + np.uint64(1))
+        pairs = shapes + np.where(same, np.append(shape_before, shapes[:-1]), np.uint64(0)) * np.uint64(31)
+        word_before, shape_before, doc_before = words[-1:], shapes[-1:], own[-1:]
+        buckets = np.concatenate([words % np.uint64(WORD_BUCKETS), np.uint64(WORD_BUCKETS) + hashing.mix(pairs) % np.uint64(SHAPE_BUCKETS)])
+        yield np.concatenate([own, own]), buckets.astype(np.int64)
+
+
+def present(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of the buckets that each document has, once each."""
+    n, found = WORD_BUCKETS + SHAPE_BUCKETS, np.empty(0, np.int64)
+    for doc, bucket in features(data, off):
+        new = np.unique(doc * n + bucket)
+        found = np.union1d(found, new) if len(found) else new
+    return found // n, found % n
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +97,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = WORD_BUCKETS + SHAPE_BUCKETS
     sums, docs = np.zeros((3, n), np.int64), np.zeros(3, np.int64)
     for marks, data, off in hashing.chunks(batches):
-        doc, bucket = _present(*features(data, off))
+        doc, bucket = present(data, off)
         sums[0] += np.bincount(bucket, minlength=n)
         docs[0] += len(marks)
         for mark in (GOOD, BAD):
@@ -156,7 +167,7 @@ def ratios(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
             for marks, data, off in hashing.chunks(iter([batch.select(["mark", "text"])])):
                 total = np.zeros(len(marks))
                 if table is not None:
-                    doc, bucket = _present(*features(data, off))
+                    doc, bucket = present(data, off)
                     total = np.bincount(doc, weights=table[marks[doc], bucket], minlength=len(marks)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([keys.slice(at, len(marks)), pa.array(total)], ["id", "ratio"])
                 at += len(marks)

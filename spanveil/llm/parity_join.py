@@ -3,24 +3,29 @@
 A document is the set of its hashed shingles. Of two sets with Jaccard similarity of at
 least ``percent`` the symmetric difference is at most
 ``(x + y) (100 - percent) / (100 + percent)``. Per size band the shingles are dealt to
-parts, each a 64-bit word in which every shingle flips one bit: the Hamming distance of
-such parity sketches is never above the symmetric difference. With ``differences + 1 +
-spare`` parts, similar sets agree in more than ``spare`` whole parts, so joining on
-(band, part, word) loses no link. Words that many documents share (empty parts, parts
-with boilerplate only) are left out for documents that have at most ``spare`` of them:
-more than ``spare`` agreeing parts cannot all be such words; documents with more of them
-keep all. Candidates are first each document with the one that it shares most words with, of
-those that are least in a group. Then each group that still holds several components
-is searched for links between them: smaller sketches bound each pair from below, and
-pairs within the bound go on; of large groups first only those that would join
-components, then, where components are left, all. Every candidate is verified on the
-exact sets. Documents with equal sets are one class, and a
-task sends the words of a class once.
+parts, each a sketch of 2^32 bits in which every shingle flips one bit: the Hamming
+distance of such parity sketches is never above the symmetric difference. A part's word is
+the XOR of the hashes of its set bits. Each difference spoils one part at most, so of a
+document's non-empty parts, all but as many as its differences agree with any set that it
+links with: joining on (band, part, word) loses no link. More parts are made than
+differences are allowed, and a document leaves out so many of its most frequent words as
+it has to spare: of the words that a link shares, the rarest stays on both sides, as all
+documents rank words alike. A document with too few parts that are not empty sends them
+all, empty ones as well.
+
+Candidates are first each document with the one that it shares most words with, of those
+that are least in a group. Then each group that still holds several components is searched
+for links between them: smaller sketches bound each pair from below, and pairs within the
+bound go on; of large groups first only those that would join components, then, where
+components are left, all. Every candidate is verified on the exact sets. Documents with
+equal sets are one class, and a task sends the words of a class once.
 
 Defined results: null or empty texts and texts without words have no shingles, size 0
 and are alone; fewer words than a shingle are one shingle; A-Z only are lowered; whole
-texts are used; rows with one id are joined as if they linked (they share a component);
-a null id counts as the least id; empty tables give no rows; other columns are not read.
+texts are used; rows with one id are joined as if they linked (they share a component),
+whatever their texts; a null id counts as the least id; empty tables give no rows; other
+columns are not read. Sets are compared by 64-bit hashes of their shingles, which no fixed
+words collide in.
 """
 
 from __future__ import annotations
@@ -36,29 +41,28 @@ from pyspark.sql import functions as F
 from spanveil.llm import hashing
 from spanveil.llm.scratch import discard, keep
 
-TABLE = hashing.byte_table(102, lower=True)
+TABLE = hashing.Table(102, lower=True)
 FIRST = -(1 << 63)
-#: A word in more documents than this is one that many share.
+#: A group of more documents than this is large.
 MANY = 32
-#: Members of a group that are compared in one cell; rows that a task settles at once; classes that a task remembers.
+#: Members of a group that are compared in one cell; candidates that a task settles at once; classes that a task remembers.
 CELL, HELD, SEEN = 1024, 250_000, 100_000
 #: A wide sketch has so many times the bits of a small one.
 WIDER = 4
 #: Rows of a batch that goes back to Spark.
 BATCH_ROWS = 50_000
 #: A table of at most so many ids goes to all tasks; larger ones are joined by sort and merge.
-SMALL = 1_000_000
+SMALL = 200_000
 #: Sketches of so many bytes go to all tasks; more are joined by sort and merge.
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 8 << 20
 #: Words of sketches that are compared at once.
 SLICE_WORDS = 1 << 19
-KEY, LOCAL, INFO = 0, 1, 2
-#: Spare parts of a band; a third of them may be empty parts left out, a third words that many documents share.
-MOST_SPARE = 4095
+#: Rows of the first pass: words for links within the own size band, with the next band, and one row a document.
+OWN, NEXT, INFO = 0, 1, 2
 
 
 class Bands:
-    """Sizes up to tops[b] are band b; parts and spare parts of each."""
+    """Sizes up to tops[b] are band b; most differences of links within it, parts, and bits of a small sketch."""
 
     def __init__(self, percent: int, widest: int = 1 << 40):
         self.percent = percent
@@ -67,8 +71,7 @@ class Bands:
             tops.append(tops[-1] * 3 // 2)
         self.tops = np.array(tops, np.int64)
         self.most = self.differences(2 * self.tops)
-        self.spare = np.where(self.most > 0, np.minimum(MOST_SPARE, 2 + self.most * 8 // 100), 0)
-        self.parts = self.most + 1 + self.spare
+        self.parts = self.most + self.most // 4 + 9
         bits = np.maximum(64, 4 * self.most)
         self.bits = (1 << np.ceil(np.log2(bits)).astype(np.int64)).astype(np.int64)
 
@@ -82,13 +85,21 @@ class Bands:
         """Whether a size may link with the least size of the next band."""
         return 100 * sizes >= self.percent * (self.tops[band] + 1)
 
+    def allowed(self, sizes: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Most differences of a set with any set of the band that it links with."""
+        return self.differences(sizes + np.minimum(self.tops[band], sizes * 100 // self.percent))
+
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct shingles of a chunk, sorted."""
     starts, ends, first = hashing.spans(data, off)
     h = hashing.word_hashes(data, starts, ends, TABLE)
+    del starts, ends
     n = np.diff(first)
     g = hashing.ngrams(h, width)
+    if len(n) == 1 and n[0] >= width:
+        g = np.unique(g)
+        return np.zeros(len(g), np.int64), g
     at = np.arange(len(g))
     doc = np.repeat(np.arange(len(n)), n)
     inside = at + width <= first[doc[: len(g)] + 1]
@@ -97,7 +108,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
         short = np.flatnonzero(n == size)
         if len(short):
             docs.append(short)
-            hashes.append(hashing.mix(hashing.ngrams(h, size)[first[short]] + np.uint64(size)))
+            hashes.append(hashing.ngrams(h, size, salt=size)[first[short]])
     doc, g = np.concatenate(docs), np.concatenate(hashes)
     o = np.lexsort((g, doc))
     doc, g = doc[o], g[o]
@@ -115,7 +126,7 @@ def _reduce(op, values: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def part_words(doc: np.ndarray, g: np.ndarray, bands: Bands, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents with a band of at least 0: (document, part, word), each part of each."""
+    """Of documents with a band of at least 0: (document, part, word), each part of each; the word of an empty part is 0."""
     use = band[doc] >= 0
     d, h = doc[use], g[use]
     parts = np.where(band >= 0, bands.parts[band], 0)
@@ -124,7 +135,7 @@ def part_words(doc: np.ndarray, g: np.ndarray, bands: Bands, band: np.ndarray) -
     words = np.zeros(int(parts.sum()), np.uint64)
     if len(flat):
         head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        words[flat[head]] = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), head)
+        words[flat[head]] = np.bitwise_xor.reduceat(hashing.mix((h & np.uint64(0xFFFFFFFF)) + np.uint64(1)), head)
     owner = np.repeat(np.arange(len(band)), parts)
     return owner, np.arange(len(words)) - base[owner], words
 
@@ -142,24 +153,9 @@ def _rows(kind: int, key: np.ndarray, doc: np.ndarray, value: np.ndarray, extra:
     )
 
 
-def _settle(key: np.ndarray, doc: np.ndarray, spare: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row a word goes on with the number of its documents here; the rest stay local."""
-    o = np.lexsort((doc, key))
-    key, doc, spare = key[o], doc[o], spare[o]
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(head, len(key)))
-    rest = np.ones(len(key), bool)
-    rest[head] = False
-    for kind, at, value in ((KEY, head, size * 4096 + spare[head]), (LOCAL, np.flatnonzero(rest), 4096 + spare[rest])):
-        for a in range(0, len(at), BATCH_ROWS):
-            own = at[a : a + BATCH_ROWS]
-            yield _rows(kind, key[own], doc[own], value[a : a + BATCH_ROWS])
-
-
 def _sketched(bands: Bands, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, seen = 0, set()
+        seen = set()
         for ids, data, off in hashing.chunks(batches):
             doc, g = shingle_sets(data, off, width)
             n = np.bincount(doc, minlength=len(ids))
@@ -174,21 +170,18 @@ def _sketched(bands: Bands, width: int):
                     seen.add(pair)
             if len(seen) > SEEN:
                 seen.clear()
-            for own in (np.where(new & (bands.most[band] > 0), band, -1), np.where(new & bands.reaches(n, band), band + 1, -1)):
+            for kind, target, use in ((OWN, band, new), (NEXT, band + 1, new & bands.reaches(n, band))):
+                most = bands.allowed(n, target)
+                own = np.where(use & (most > 0), target, -1)
                 owner, part, word = part_words(doc, g, bands, own)
-                if len(owner):
-                    spare = bands.spare[own]
-                    empty = np.bincount(owner[word == 0], minlength=len(ids)) <= spare // 3
-                    stay = (word != 0) | ~empty[owner]
-                    owner, part, word = owner[stay], part[stay], word[stay]
-                    key = hashing.mix(word ^ hashing.mix((own[owner] * (1 << 40) + part).astype(np.uint64) + np.uint64(1)))
-                    held.append((key, ids[owner], spare[owner]))
-                    size += len(key)
-            if size >= HELD:
-                yield from _settle(*[np.concatenate(x) for x in zip(*held)])
-                held, size = [], 0
-        if held:
-            yield from _settle(*[np.concatenate(x) for x in zip(*held)])
+                filled = np.bincount(owner[word != 0], minlength=len(ids))
+                spare = np.maximum(0, filled - most - 1)
+                stay = (word != 0) | (filled <= most)[owner]
+                owner, part, word = owner[stay], part[stay], word[stay]
+                key = hashing.mix(word ^ hashing.mix((own[owner] * (1 << 40) + part).astype(np.uint64) + np.uint64(1)))
+                for a in range(0, len(key), BATCH_ROWS):
+                    at = slice(a, a + BATCH_ROWS)
+                    yield _rows(kind, key[at], ids[owner[at]], spare[owner[at]])
 
     return run
 
@@ -198,42 +191,28 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(key, doc) of words that can link documents.
-
-    A link shares more than ``spare`` words; at most a third of ``spare`` are left out as
-    empty and a third as words of many documents, so a document with fewer of the
-    other words in common with any others than what remains has no link.
-    """
-    kind, value = F.col("meta").bitwiseAND(3), F.shiftright("meta", 2)
-    words = rows.where(kind != INFO).select("key", "doc", (value.bitwiseAND(4095)).alias("spare"), "total")
-    third = F.floor(F.col("s") / 3)
-    many = keep(words.where(F.col("total") > MANY).select("key").distinct(), "parity-many")
-    flagged = keep(words.join(_small(many.withColumn("many", F.lit(True))), "key", "left"), "parity-flagged")
-    common = flagged.where("many").select("key", "doc", "spare")
-    # a document in two bands may have that many in each: the smaller allowance, for both together, leaves out less
-    over = keep(common.groupBy("doc").agg(F.count(F.lit(1)).alias("c"), F.min("spare").alias("s")).where(F.col("c") > third).select("doc"), "parity-over")
-    stay = keep(flagged.where("many is null").select("key", "doc", "spare").unionByName(common.join(_small(over), "doc", "left_semi")), "parity-stay")
-    able = keep(stay.groupBy("doc").agg(F.count(F.lit(1)).alias("c"), F.min("spare").alias("s")).where(F.col("c") >= F.col("s") + 1 - 2 * third).select("doc"), "parity-able")
-    discard(flagged)
-    out = keep(stay.join(_small(able), "doc", "left_semi").select("key", "doc"), "parity-candidates")
-    discard(stay)
-    return out
+def rarest(words: DataFrame) -> DataFrame:
+    """(key, doc) of words (key, doc, kind, spare, total), less the spare most frequent of each document."""
+    rank = F.row_number().over(Window.partitionBy("doc", "kind").orderBy(F.desc("total"), "key"))
+    return words.withColumn("rank", rank).where("rank > spare").select("key", "doc")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp): least id reachable of every node; edges: a, b, both among the nodes."""
     both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = keep(nodes.select("id", F.col("id").alias("comp")), "labels")
-    while True:
+    held = keep(nodes.select("id", F.col("id").alias("comp")), "labels")
+    labels, changed = held, 1
+    while changed:
         near = keep(both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("low")), "least")
         lower = keep(labels.join(near, labels.id == near.a, "left").select("id", "comp", F.least("comp", F.coalesce("low", "comp")).alias("low")), "lower")
         onward = lower.select(F.col("id").alias("low"), F.col("low").alias("far"))
         jumped = keep(lower.join(onward, "low").select("id", "comp", F.least("low", "far").alias("low")), "jumped")
+        for done in (held, near, lower):
+            discard(done)
         changed = jumped.where("low < comp").limit(1).count()
-        labels = jumped.select("id", F.col("low").alias("comp"))
-        if not changed:
-            return labels
+        held, labels = jumped, jumped.select("id", F.col("low").alias("comp"))
+    discard(both)
+    return labels
 
 
 def _distance(a: bytes, b: bytes) -> int:
@@ -357,25 +336,25 @@ def _pairs(a: np.ndarray) -> pa.RecordBatch:
 
 
 class Join:
-    """The stages of one join; ids are of classes of equal sets, by their least document."""
+    """The stages of one join over texts (doc, text) with an id each; ids are of classes of equal sets, by their least document."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str):
-        self.width, self.bands = width, Bands(percent)
-        self.text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        rows = self.text.mapInArrow(_sketched(self.bands, width), "key long, doc long, meta long, extra binary")
+    def __init__(self, text: DataFrame, width: int, percent: int):
+        self.width, self.bands, self.text = width, Bands(percent), text
+        rows = text.mapInArrow(_sketched(self.bands, width), "key long, doc long, meta long, extra binary")
         kind, value = F.col("meta").bitwiseAND(3), F.shiftright("meta", 2)
-        total = F.sum(F.when(kind == KEY, F.shiftright(value, 12))).over(Window.partitionBy("key"))
-        rows = rows.withColumn("total", F.when(kind == KEY, total)).where((kind != KEY) | (F.col("total") > 1))
-        rows = keep(rows, "parity-rows")
+        rows = rows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("key"))).where((kind == INFO) | (F.col("total") > 1))
+        rows = keep(rows.withColumn("total", F.col("total").cast("int")), "parity-rows")
         info = rows.where(kind == INFO).select("doc", value.alias("n"), F.substring("extra", 1, 16).alias("same"), F.expr("substring(extra, 17)").alias("sketch"))
-        classes = keep(info.where("n > 0").groupBy("same", "n").agg(F.min("doc").alias("id"), F.min("sketch").alias("sketch")), "parity-classes")
-        self.classes = classes
-        self.members = keep(info.select("doc", "n", "same").join(classes.select("same", "n", "id"), ["same", "n"], "left").select("doc", "n", F.coalesce("id", "doc").alias("id")), "parity-members")
-        linked = candidates(rows)
+        self.classes = keep(info.where("n > 0").groupBy("same", "n").agg(F.min("doc").alias("id"), F.min("sketch").alias("sketch")), "parity-classes")
+        self.members = keep(info.select("doc", "n", "same").join(self.classes.select("same", "n", "id"), ["same", "n"], "left").select("doc", "n", F.coalesce("id", "doc").alias("id")), "parity-members")
+        moved = keep(self.members.where("id <> doc").select("doc", "id"), "parity-moved")
+        linked = rarest(rows.where(kind != INFO).select("key", "doc", kind.alias("kind"), value.alias("spare"), "total"))
+        plain = keep(linked.join(_small(moved), "doc", "left").select("key", F.coalesce("id", "doc").alias("id")).distinct(), "parity-plain")
         discard(rows)
-        moved = keep(self.members.where("id <> doc").select("doc", "id").distinct(), "parity-moved")
-        self.words = keep(linked.join(_small(moved), "doc", "left").select("key", F.coalesce("id", "doc").alias("id")), "parity-words")
-        discard(linked)
+        groups = keep(plain.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("f")).where("f > 1"), "parity-groups")
+        self.words = keep(plain.join(groups, "key"), "parity-words")
+        for done in (plain, groups, moved):
+            discard(done)
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(id, shingles) of the classes in the pairs."""
@@ -408,14 +387,7 @@ class Join:
 
     def stars(self) -> DataFrame:
         """(a, b, c): b shares c words with a, the least class of their groups."""
-        least = keep(self.words.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("f")).where("a < z").select("key", "a", "f"), "parity-least")
-        large = keep(least.where(F.col("f") > MANY).select("key", F.ceil(F.col("f") / CELL).cast("int").alias("blocks")), "parity-large")
-        shared = self.words.join(least, "key").where("a < id")
-        out = keep(shared.groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("c")), "parity-stars")
-        discard(least)
-        plain, self.words = self.words, keep(self.words.join(_small(large), "key", "left"), "parity-words")
-        discard(plain)
-        return out
+        return keep(self.words.where("least < id").groupBy(F.col("least").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("c")), "parity-stars")
 
     def best(self, stars: DataFrame) -> DataFrame:
         """Of each class, the pair with the one that it shares most words with."""
@@ -436,16 +408,22 @@ class Join:
 
     def across(self, labels: DataFrame, large_only: bool) -> DataFrame:
         """Pairs in different components that share a word and may link; see _joining. A large group is cut into blocks by hash, a cell for each pair of blocks."""
-        info, rows = labels.join(self.classes.select("id", "n", "sketch"), "id"), self.words
+        rows = self.words.where(F.col("f") > MANY) if large_only else self.words
+        rows = keep(rows.select("key", "id", "f").join(labels, "id"), "parity-labelled")
+        open_ = keep(rows.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("key"), "parity-open")
+        still = keep(rows.join(_small(open_), "key", "left_semi"), "parity-still")
+        discard(rows)
+        discard(open_)
+        ids = keep(still.select(F.col("id").alias("doc")).distinct(), "parity-ids")
+        info = self.classes.select("id", "n", "sketch").join(_small(ids), F.col("id") == F.col("doc"), "left_semi")
         if large_only:
-            rows = rows.where("blocks is not null")
-            info = info.join(self.wide_sketches(keep(rows.select(F.col("id").alias("doc")).distinct(), "parity-ids")), "id")
+            info = info.join(self.wide_sketches(ids), "id")
         else:
             info = info.withColumn("wide", F.lit(None).cast("binary"))
         info = keep(info, "parity-info")
-        rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        cells = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "id")
+        blocks = F.when(F.col("f") > MANY, F.ceil(F.col("f") / CELL)).otherwise(1).cast("int")
+        cells = still.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "id", "comp")
         size = F.octet_length("sketch") + F.coalesce(F.octet_length("wide"), F.lit(0)) + 32
         if (info.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
             met = cells.repartition("group").join(F.broadcast(info), "id")
@@ -453,24 +431,43 @@ class Join:
             met = cells.join(info, "id").repartition("group")
         dealt = met.select("group", "id", "comp", "n", "sketch", "wide").sortWithinPartitions("group")
         out = keep(dealt.mapInArrow(_joining(self.bands, large_only), "a long, b long").distinct(), "parity-across")
-        discard(info)
+        for done in (info, still, ids):
+            discard(done)
         return out
 
 
-def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles, component_id (least id reachable by links, itself included)."""
-    j = Join(docs, width, percent, id_col, text_col)
+def _linked(text: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc, n, comp) of texts (doc, text) with an id each."""
+    j = Join(text, width, percent)
     stars = j.stars()
     near = keep(j.described(j.best(stars)).mapInArrow(_near(j.bands), "a long, b long"), "parity-near")
+    discard(stars)
     links = j.verified(near)
     nodes = keep(j.words.select("id").distinct(), "parity-nodes")
     labels = components(nodes, links)
-    discard(stars)
     for large_only in (False, True):
         more = j.verified(j.across(labels, large_only))
-        links = keep(links.unionByName(more), "parity-links")
-        labels = components(nodes, links)
+        if more.limit(1).count():
+            links = keep(links.unionByName(more), "parity-links")
+            labels = components(nodes, links)
     discard(j.words)
-    out = j.members.join(labels, "id", "left").select("doc", "n", F.coalesce("comp", "id").alias("comp"))
+    return j.members.join(labels, "id", "left").select("doc", "n", F.coalesce("comp", "id").alias("comp"))
+
+
+def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, n_shingles, component_id (least id reachable by links, itself included)."""
+    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     back = lambda c: F.nullif(F.col(c), F.lit(FIRST))
+    if text.groupBy("doc").count().where("count > 1").limit(1).count():
+        # rows that share an id get numbers of their own; then components that share an id are one
+        rows = keep(text.select(F.monotonically_increasing_id().alias("row"), "doc", "text"), "parity-numbered")
+        found = keep(_linked(rows.select(F.col("row").alias("doc"), "text"), width, percent).withColumnRenamed("doc", "row").join(rows.select("row", "doc"), "row"), "parity-found")
+        first = found.groupBy("doc").agg(F.min("comp").alias("low"))
+        edges = found.join(first, "doc").where("comp <> low").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct()
+        groups = components(found.select(F.col("comp").alias("id")).distinct(), edges).withColumnRenamed("comp", "whole")
+        out = keep(found.join(groups, found.comp == groups.id).select("doc", "n", "whole"), "parity-whole")
+        least = out.groupBy("whole").agg(F.min("doc").alias("comp"))
+        out = out.join(least, "whole")
+    else:
+        out = _linked(text, width, percent)
     return out.select(back("doc").alias(id_col), F.col("n").alias("n_shingles"), back("comp").alias("component_id"))

@@ -2,13 +2,15 @@
 
 Sizes are words. The targets share the whole size by weight, none above ``most_repeats``
 times its source's size (water filling: sources sorted by cap over weight, the first
-level that does not exceed its own cap holds for all that follow). Blocks of equal size
-are seats: sources get them by highest quotients of their targets, then each source's
-hash shards by highest quotients of their sizes. In each shard the documents lie in a
+level that does not exceed its own cap holds for all that follow). Blocks of
+``block_words`` words, one unless asked otherwise, are seats: sources get them by highest
+quotients of their targets, then each source's hash shards by highest quotients of their
+sizes. The quotient of the last seat is searched for, so that a few quotients a party are
+ranked, however many seats there are. In each shard the documents lie in a
 seeded order and the shard's quota is taken from that line, going around it again up to
 ``most_repeats`` times; so a document is taken whole as many times as the line is gone
-around, and once more, or in part, if it lies in the last round's blocks. Shards hold a bounded
-number of words, so one huge source is many small windows.
+around, and once more, or in part, if it lies in the last round's blocks. A source has a
+shard for every ``shard_words`` words, so one huge source is many small windows.
 
 Defined results: a null text has size 0 and is taken 0; the null source is a source of
 its own, last in the order; with no words at all every target is 0; rows that repeat
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from spanveil.llm.scratch import keep as write_once
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS = 256
-#: A shard has about so many words, but a source has at most MOST_SHARDS shards.
-SHARD_WORDS, MOST_SHARDS = 1 << 19, 4096
+BLOCK_WORDS, SHARD_WORDS = 1, 1 << 19
+#: Rounds of the search for the last seat's quotient, and values that are tried in each.
+ROUNDS, TRIED = 4, 32
 
 
 def word_count(text: Column) -> Column:
@@ -53,23 +55,31 @@ def targets(sizes: DataFrame, weights: Sequence[int], most_repeats: int) -> Data
 def sainte_lague(parties: DataFrame, group: Sequence[str], votes: str, seats: str, order: Sequence[str]) -> DataFrame:
     """Adds quota: of each group's seats (the same on all its rows), those with the highest quotients votes / (2 k + 1); ties by order.
 
-    Rounding votes * seats / sum of votes misses the number of seats by d; no quota is
-    further from its rounding than d, so only 2 |d| + 2 quotients a party are ranked.
+    A party has floor((votes / q + 1) / 2) quotients of at least q. q is narrowed from both
+    sides to where as many stand as there are seats; the quotients between the two bounds,
+    and one more on each side against rounding, are ranked.
     """
     whole = Window.partitionBy(*group)
-    share = F.when(F.col("_v") > 0, F.col(votes) * F.col(seats) / F.col("_v")).otherwise(F.lit(0.0))
-    near = (
-        parties.withColumn("_v", F.sum(votes).over(whole))
-        .withColumn("_base", F.floor(share + 0.5).cast("long"))
-        .withColumn("_off", F.abs(F.col(seats) - F.sum("_base").over(whole)) + 1)
-        .withColumn("_sure", F.greatest(F.lit(0), F.col("_base") - F.col("_off")).cast("long"))
-        .withColumn("_left", F.when(F.col("_v") > 0, F.col(seats) - F.sum("_sure").over(whole)).otherwise(F.lit(0)))
-    )
+    v = F.col(votes).cast("double")
+    above = lambda q: F.when(v > 0, F.floor((v / q + 1) / 2)).otherwise(0).cast("long")
+    sums = parties.withColumn("_v", F.sum(v).over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_top", F.max(v).over(whole))
+    open_ = (F.col("_v") > 0) & (F.col(seats) > 0)
+    # every party's number of quotients differs from votes / (2 q) by half a seat at most
+    low = F.when(open_, F.col("_v") / (2 * F.col(seats) + F.col("_n")))
+    sharp = F.when(2 * F.col(seats) > F.col("_n"), F.col("_v") / (2 * F.col(seats) - F.col("_n")))
+    found = sums.withColumn("_low", low).withColumn("_high", F.when(open_, F.least(F.col("_top") * 1.001, F.coalesce(sharp, F.col("_top") * 1.001)) * 1.000001))
+    for _ in range(ROUNDS):
+        tried = [F.col("_low") * F.pow(F.col("_high") / F.col("_low"), F.lit(j / TRIED)) for j in range(1, TRIED)]
+        counted = found.withColumn("_q", F.array(*tried)).withColumn("_c", F.array(*[F.sum(above(q)).over(whole) for q in tried]))
+        pairs = F.arrays_zip("_q", "_c")
+        enough, few = F.filter(pairs, lambda p: p["_c"] >= F.col(seats)), F.filter(pairs, lambda p: p["_c"] < F.col(seats))
+        found = counted.withColumn("_l", F.coalesce(F.array_max(F.transform(enough, lambda p: p["_q"])), "_low")).withColumn("_high", F.coalesce(F.array_min(F.transform(few, lambda p: p["_q"])), "_high")).withColumn("_low", F.col("_l")).drop("_l", "_q", "_c")
+    found = found.withColumn("_sure", F.when(open_, F.greatest(F.lit(0), above(F.col("_high")) - 1)).otherwise(0).cast("long")).withColumn("_most", F.when(open_, above(F.col("_low")) + 1).otherwise(0).cast("long"))
+    found = found.withColumn("_left", F.when(open_, F.col(seats) - F.sum("_sure").over(whole)).otherwise(0))
     by_quotient = whole.orderBy(F.desc("_q"), *order)
-    seated = near.withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.col("_base") + F.col("_off")))).withColumn("_q", F.col(votes) / (2 * F.col("_k") + 1))
+    seated = found.withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.col("_most")))).withColumn("_q", F.when(v > 0, v / (2 * F.col("_k") + 1)).otherwise(0.0))
     won = seated.withColumn("_won", (F.row_number().over(by_quotient) <= F.col("_left")).cast("long"))
-    names = [c for c in parties.columns]
-    return won.groupBy(*names).agg((F.max("_sure") + F.sum("_won")).alias("quota"))
+    return won.groupBy(*parties.columns).agg((F.max("_sure") + F.sum("_won")).alias("quota"))
 
 
 def mix(
@@ -79,9 +89,8 @@ def mix(
     """One row a document: id, source, size, source_size, target, taken (words the mix takes, repeats counted)."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     sized = write_once(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("h")), "mix-sizes")
-    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("total") / 65536))).cast("long")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_repeats)
-    sources = sources.withColumn("block", block).withColumn("seats", F.floor(F.col("total") / F.col("block") + 0.5).cast("long")).withColumn("shards", F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_words)).cast("int")).withColumn("all", F.lit(1))
+    sources = sources.withColumn("block", F.lit(block_words).cast("long")).withColumn("seats", F.floor(F.col("total") / F.col("block") + 0.5).cast("long")).withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long")).withColumn("all", F.lit(1))
     sources = write_once(sainte_lague(sources, ["all"], "target", "seats", ["source"]).drop("all", "seats", "total"), "mix-sources")
     at = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.greatest(F.lit(1), F.col("shards")))
     by_source = sources.withColumnRenamed("source", "s")

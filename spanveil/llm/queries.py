@@ -76,7 +76,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, verdict)")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
@@ -125,8 +125,8 @@ s3 AS (SELECT *, coalesce(sum(cap) OVER lower_caps, 0) AS below, sum(weight) OVE
        WINDOW lower_caps AS (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, (total - below) / rest AS lv FROM s3),
 s5 AS (SELECT *, (SELECT arg_min(lv, (cap / weight, n)) FROM s4 WHERE lv * weight <= cap) AS level FROM s4),
-s6 AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target, greatest(1, least(256, total // 65536))::BIGINT AS block, total FROM s5),
-s7 AS (SELECT *, floor(total::DOUBLE / block + 0.5)::BIGINT AS seats, least(4096, ceil(source_size::DOUBLE / 524288))::BIGINT AS shards FROM s6),
+s6 AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target, 1::BIGINT AS block, total FROM s5),
+s7 AS (SELECT *, floor(total::DOUBLE / block + 0.5)::BIGINT AS seats, ceil(source_size::DOUBLE / 524288)::BIGINT AS shards FROM s6),
 s8 AS (SELECT source, count(*) AS quota FROM
         (SELECT source, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS FIRST) AS r
          FROM (SELECT *, unnest(range(0, ceil(1.2 * target / block)::BIGINT + 20)) AS k FROM s7)) WHERE r <= seats GROUP BY source),

@@ -3,9 +3,11 @@
 A text is cut at ASCII white space, which none of the tokenizer's own pre-tokens
 crosses, and each piece's token count is looked up: first in a broadcast table of
 frequent pieces, then in the worker's cache, which encodes what it misses with the
-library. Nothing is shuffled. The frequent pieces come from the first ``sample_docs``
-documents; that choice changes the speed only, never a count. A text that may hold one
-of the tokenizer's special strings goes to the library whole.
+library. Nothing is shuffled. The frequent pieces are counted in a task over the first
+``sample_docs`` documents; that choice changes the speed only, never a count. A text that
+may hold one of the tokenizer's special strings goes to the library whole, as do all texts
+if the tokenizer's normaliser or pre-tokenizer is another than the one whose cuts are
+known here (``NORMALISER``, ``PRE_TOKENIZER``).
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; rows that repeat count
 each; long texts are never cut; other columns are not read.
@@ -13,6 +15,7 @@ each; long texts are never cut; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -29,10 +32,17 @@ TAIL = b".,!?;:#$%&*|"
 #: Words of a run of documents that are looked up together.
 RUN_WORDS = 100_000
 
+#: Longest piece that counts as frequent, in bytes.
+FREQUENT_BYTES = 64
+# How a tokenizer must read a text for its pieces to be encoded apart.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
 _tokenizers: dict = {}
 
 
 def tokenizer(path: str):
+    """The library's tokenizer, and its special strings; None in their place if texts must not be cut."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -40,12 +50,16 @@ def tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _tokenizers[path] = t, [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        first = (made.get("pre_tokenizer") or {}).get("pretokenizers", [None])[0]
+        known = made.get("normalizer") == NORMALISER and first == PRE_TOKENIZER
+        _tokenizers[path] = t, [x.content.encode() for x in t.get_added_tokens_decoder().values()] if known else None
     return _tokenizers[path]
 
 
-def runs(batches: Iterator[pa.RecordBatch], marks: list[bytes]) -> Iterator[tuple[list, list, list]]:
-    """(ids, texts as bytes, words or None where the text holds a special string), a bounded number of words each."""
+def runs(batches: Iterator[pa.RecordBatch], marks: list[bytes] | None) -> Iterator[tuple[list, list, list]]:
+    """(ids, texts as bytes, words or None where the text holds a special string or is not cut), a bounded number of words each."""
     ids, texts, words, n = [], [], [], 0
     for batch in batches:
         column = batch.column(1).cast(pa.large_binary())
@@ -53,7 +67,7 @@ def runs(batches: Iterator[pa.RecordBatch], marks: list[bytes]) -> Iterator[tupl
             raw = text.as_py() or b""
             ids.append(key.as_py())
             texts.append(raw)
-            words.append(None if any(m in raw for m in marks) else raw.split())
+            words.append(None if marks is None or any(m in raw for m in marks) else raw.split())
             n += len(raw)
             if n > 6 * RUN_WORDS:
                 yield ids, texts, words
@@ -111,11 +125,18 @@ _lengths: dict = {}
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, frequent: int = FREQUENT) -> DataFrame:
     """One row a document: id, n_bytes, n_tokens, over_limit (more tokens than limit)."""
     spark = docs.sparkSession
-    seen: Counter = Counter()
-    for row in docs.select(F.col(text_col).cast("binary")).limit(sample_docs).collect():
-        seen.update(bytes(row[0] or b"").split())
-    top = [w for w, _ in seen.most_common(frequent)]
-    tok, _ = tokenizer(tokenizer_path)
+    tok, marks = tokenizer(tokenizer_path)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(w for w in (text.as_py() or b"").split() if len(w) <= FREQUENT_BYTES)
+        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:frequent]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary())], ["piece"])
+
+    # at most so many pieces of bounded length, of one task
+    top = [bytes(r[0]) for r in docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).limit(sample_docs).coalesce(1).mapInArrow(sampled, "piece binary").collect()] if marks is not None else []
     table = {w: len(e) for w, e in zip(top, tok.encode_batch([w.decode() for w in top], add_special_tokens=False))}
     shared = spark.sparkContext.broadcast((b" ".join(table), bytes(min(v, 255) for v in table.values())))
 

@@ -13,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanveil.llm import content_sort, factors, importance, mixing, neighbours, packing, parity_join, tokens, url_rules, warc
-from spanveil.llm.scratch import new_path
+from spanveil.llm import content_sort, factors, hashing, importance, mixing, neighbours, packing, parity_join, tokens, url_rules, warc
+from spanveil.llm.scratch import keep, new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, size long, kept string"
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -68,6 +68,25 @@ def test_exact_dedup(spark, texts):
             assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (keep, len(groups[n]), i == keep, hashlib.sha256(n).hexdigest())
 
 
+def test_exact_dedup_finds_groups_by_neighbours(spark):
+    """All equal texts that are not split meet in one run; a text of half the rows is split, one of all rows as well."""
+    low = [(i, f"text {i // 2}") for i in range(400)]
+    hot = [(1000 + i, "Hot text") for i in range(400)]
+    docs = documents(spark, low + hot).repartition(7)
+    runs = content_sort.sorted_runs(docs, "doc_id", "text", F.min, False).collect()
+    assert all(r.run_size == 2 for r in runs if r.id < 1000)
+    own = [r for r in runs if r.id >= 1000]
+    assert len({r.run for r in own}) > 1 and sum(r.norm is not None for r in own) == len({r.run for r in own})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = content_sort.sorted_runs(documents(spark, hot), "doc_id", "text", F.min, False).select(F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.task for r in tasks}) > 1
+    got = content_sort.exact_groups(documents(spark, hot)).collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(1000, 400)}
+
+
 def test_exact_dedup_of_repeated_and_null_ids(spark):
     got = content_sort.exact_groups(documents(spark, [(1, "a"), (1, "a"), (None, "A"), (None, "b")]), retain="largest").collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == [("1", "1", 3, True), ("1", "1", 3, True), ("None", "1", 3, False), ("None", "None", 1, True)]
@@ -126,6 +145,66 @@ def test_jaccard_join(spark, texts, width, percent, many, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), top(i)) for i, s in sets.items()}
 
 
+def thue_morse(n):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate({97: 98, 98: 97})
+
+
+def test_words_of_one_letter_sum_do_not_collide(spark):
+    a, b = thue_morse(1024)
+    filler = " ".join(f"f{i}" for i in range(19))
+    docs = documents(spark, [(1, f"{filler} {a}"), (2, f"{filler} {b}"), (3, a), (4, b)])
+    assert {r.doc_id: r.n_removed for r in factors.remove(docs, factors.parse(docs)).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    got = {r.doc_id: r.component_id for r in parity_join.join_components(docs, 4, 85).collect()}
+    assert got[3] == 3 and got[4] == 4
+
+
+def test_word_hashes():
+    rnd = random.Random(1)
+    for step in (50, 1 << 18):
+        texts = ["".join(rnd.choice(["a", "B", "cc ", "\n", "  ", "x" * 33, "y" * 70, "z" * 3000, "é"]) for _ in range(rnd.randrange(30))).encode() for _ in range(200)]
+        data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        starts, ends, first = hashing.spans(data, off)
+        h = hashing.word_hashes(data, starts, ends, hashing.Table(9, lower=True))
+        assert [bytes(data[s:e]) for s, e in zip(starts, ends)] == [w for t in texts for w in t.split()]
+        assert np.diff(first).tolist() == [len(t.split()) for t in texts]
+        names = [w.translate(LOW) for t in texts for w in t.split()]
+        assert len(set(names)) == len(set(h.tolist())) == len(set(zip(names, h.tolist())))
+        for n in (1, 2, 5, 20):
+            g = hashing.ngrams(h, n).tolist()
+            grams = [tuple(names[i : i + n]) for i in range(len(names) - n + 1)]
+            assert len(set(g)) == len(set(grams)) == len(set(zip(g, grams)))
+
+
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    a, b = " ".join(words(60, 1, 5000)), " ".join(words(60, 2, 5000))
+    near_b = b.replace(b.split()[30], "other")
+    rows = [(1, a), (5, a), (5, b), (7, near_b), (None, b), (9, "alone"), (9, "alone")]
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in parity_join.join_components(documents(spark, rows), 5, 80).collect())
+    assert got == sorted([("1", "None"), ("5", "None"), ("5", "None"), ("7", "None"), ("None", "None"), ("9", "9"), ("9", "9")])
+
+
+@pytest.mark.parametrize("small", [0, 1 << 40])
+def test_jaccard_join_beyond_its_broadcasts(spark, texts, small, monkeypatch):
+    want = {r.doc_id: r.component_id for r in parity_join.join_components(documents(spark, texts), 4, 85).collect()}
+    monkeypatch.setattr(parity_join, "SMALL", small)
+    monkeypatch.setattr(parity_join, "BROADCAST_BYTES", small)
+    monkeypatch.setattr(parity_join, "MANY", 4)
+    assert {r.doc_id: r.component_id for r in parity_join.join_components(documents(spark, texts), 4, 85).collect()} == want
+
+
+def test_very_long_text(spark):
+    """A text of about 100 MB next to a copy of a part of it."""
+    some = lambda n: F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), ((i * 7919) % 1_000_003).cast("string"), F.lit("x"))))
+    text = F.repeat(F.concat(some(1_000_003), F.lit(" ")), 11)
+    docs = spark.range(1).select(F.lit(1).alias("doc_id"), text.alias("text")).unionByName(spark.range(1).select(F.lit(2).alias("doc_id"), some(1000).alias("text")))
+    docs = keep(docs, "test-long")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in factors.remove(docs, factors.parse(docs)).select("doc_id", "n_words", "n_removed").collect()}
+    assert got == {1: (11_000_033, 10_000_030), 2: (1000, 1000)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.join_components(docs, 4, 85).collect()}
+    assert got == {1: (1_000_003, 1), 2: (997, 2)}
+
+
 def test_parity_sketch_is_a_lower_bound():
     rnd = np.random.default_rng(0)
     for _ in range(50):
@@ -207,13 +286,40 @@ def test_neighbours(spark):
 
 def test_code_error_bound():
     rnd = np.random.default_rng(2)
-    x, q, turn = rnd.standard_normal((2000, 64)), rnd.standard_normal(64), neighbours.rotation(64, 3)
-    code, norm, dot = neighbours.encode(x, np.zeros(64), turn)
-    unit = (q / np.linalg.norm(q)) @ turn
-    bits = np.unpackbits(code, axis=1, count=64)
-    guess = (2 * bits @ unit - unit.sum()) / (8 * dot)
-    true = (x / norm[:, None]) @ (q / np.linalg.norm(q))
-    assert np.mean(np.abs(guess - true) <= neighbours.EPSILON * np.sqrt((1 - dot**2) / dot**2 / 63)) > 0.999
+    x, turn = rnd.standard_normal((2000, 64)), neighbours.rotation(64, 4, 3)
+    centre = np.zeros(64)
+    epsilon = neighbours.calibrated(x, centre, turn, 0.005)
+    code, norm, dot = neighbours.encode(x, centre, turn)
+    q = rnd.standard_normal((50, 64))
+    length, unit = neighbours.turned(q, centre, turn)
+    true = (q @ x.T) / norm / length[:, None]
+    missed = np.mean(true > neighbours.estimates(unit, code, dot) + epsilon * neighbours.deviation(dot, 256))
+    assert missed < 0.01
+
+
+@pytest.mark.parametrize("block", [16_384, 7])
+def test_neighbours_compares_few_exactly(spark, block):
+    x = np.random.default_rng(5).standard_normal((4000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (17, x[17].tolist())], "vec_id long, embedding array<double>").repartition(3)
+    stats = {}
+    got = {}
+    for r in neighbours.nearest(df, F.pmod("id", F.lit(200)) == 0, block=block, stats=stats).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert sorted(got) == list(range(0, 4000, 200)) and stats["exact"] < 0.2 * stats["pairs"]
+    x = np.vstack([x, x[17]])
+    ids = np.append(np.arange(4000), 17)
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = [ids[i] for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        assert [r for r, _ in sorted(found)] == list(range(1, 11))
+        hits += len(set(want) & {v for _, v in found})
+    assert hits >= 0.95 * 10 * len(got)
+
+
+def test_neighbours_of_no_vectors(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert neighbours.nearest(empty, F.lit(True)).count() == 0
 
 
 def test_warc_round_trip(spark):
@@ -233,6 +339,28 @@ def test_warc_round_trip(spark):
     assert sorted(out, key=str) == sorted(want, key=str)
 
 
+def test_warc_does_not_depend_on_splits(spark, monkeypatch):
+    """The split size changes after every table that is written."""
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rows = [(i, "u", "plain " * (i % 40) if i % 3 else fake * (1 + i % 5) + str(i)) for i in range(200)]
+    before, sizes = spark.conf.get("spark.sql.files.maxPartitionBytes"), [3000, 500, 100_000, 1700]
+
+    def keep_and_change(df, tag, keep=warc.keep):
+        out = keep(df, tag)
+        sizes.append(sizes.pop(0))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(sizes[0]))
+        return out
+
+    monkeypatch.setattr(warc, "keep", keep_and_change)
+    try:
+        path = new_path(spark, "test")
+        warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path)
+        out = [(int(warc_id(r.headers)), bytes(r.payload).decode()) for r in warc.read_warc(spark, path).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(out) == [(i, h) for i, _, h in rows]
+
+
 def field(headers, name):
     found = re.search(rf"(?m)^{name}: (.*?)\r?$", headers)
     return found and found[1]

@@ -220,7 +220,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = text.join(marks, "doc_id", "left").select("doc_id", F.coalesce("mark", F.lit(0)).cast("long").alias("mark"), "text")
     counts = keep(marked.select("mark", "text").mapInArrow(_counted, "bucket long, raw long, good long, bad long"), "ngram-counts")
     table = keep(ratios(marked, model(counts)), "log-ratios")
-    seen = table.join(marks.withColumnRenamed("doc_id", "id"), "id").select("mark", "ratio").limit(4 * most_labelled).toPandas()
+    # a row a labelled id, of repeated rows the largest ratio: at most 2 * most_labelled
+    seen = table.join(marks.withColumnRenamed("doc_id", "id"), "id").groupBy("id", "mark").agg(F.max("ratio").alias("ratio")).select("mark", "ratio").toPandas()
     fit, rest = seen.ratio[seen.mark == GOOD].to_numpy(), seen.ratio[seen.mark == BAD].to_numpy()
     offset = best_offset(fit, rest)
     prior = min(0.999, max(0.001, share_of_good(known.join(text.select("doc_id"), "doc_id", "left_semi")))) if len(fit) else 0.999

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import brute
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -476,6 +477,26 @@ def test_importance(spark):
     assert all(r.kept for r in importance.resample(docs.limit(50), labels.limit(0)).collect())
 
 
+@pytest.mark.parametrize("sharpness", [importance.SHARPNESS, 1.0])
+def test_importance_equals_brute_force(spark, sharpness):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(160):
+        w = [rnd.choice(["red", "green", "Blue", "tree,", "house", "river", "a-b", "ünd"]) + rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 60))]
+        if i % 4 == 0:
+            w += ["scoundrel"] * rnd.randint(1, 3) + ["villain!!"]
+        rows.append((i, " ".join(w) if i % 37 else None))
+    labels = [(i, int(i % 4 > 0 or rnd.random() < 0.1), int(i % 8 == 0)) for i in range(0, 160, 2)] + [(2, 0, 0), (None, 1, 0), (999, 0, 1)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in importance.resample(documents(spark, rows).repartition(3), frame, sharpness=sharpness).collect()}
+    want = brute.resampled(spark, rows, labels, sharpness=sharpness)
+    assert len(got) == len(want) and any(w[3] < w[4] for w in want)
+    for i, ratio, weight, key, kth in want:
+        r = got[i]
+        assert math.isclose(r.log_ratio, ratio, rel_tol=1e-5, abs_tol=1e-4) and math.isclose(r.weight, weight, rel_tol=5e-3 * sharpness) and math.isclose(r.key, key, abs_tol=5e-3 * sharpness)
+        assert r.kept == (key >= kth) or abs(key - kth) < 0.01 * sharpness
+
+
 def test_importance_of_a_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality", "toxic")
@@ -516,5 +537,53 @@ def test_kth_largest(spark, monkeypatch):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, host string")
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
     assert content_sort.exact_groups(empty).count() == mixing.mix(empty).count() == tokens.count_tokens(empty, PATH).count() == packing.pack(empty, PATH).count() == 0
     assert factors.remove(empty, factors.parse(empty)).count() == parity_join.join_components(empty).count() == importance.resample(empty, labels).count() == 0
+    assert url_rules.judge_urls(pages, rules).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = " ".join(words(45, 4))
+    rows = [(None, text), (None, text), (3, text), (3, text), (4, "a b"), (4, "a b"), (5, None)]
+    docs = documents(spark, rows)
+    counts = lambda rs: Counter(map(tuple, rs))
+    tok = Tokenizer.from_file(PATH)
+    n = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids)
+    assert counts(tokens.count_tokens(docs, PATH).select("doc_id", "n_tokens").collect()) == Counter((i, n(t)) for i, t in rows)
+    pieces = packing.pack(docs, PATH).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert counts(pieces) == Counter({(i, sum(n(t) + 1 for j, t in rows if j == i)): 1 for i in (None, 3, 4, 5)})
+    # rows with one id are copies of one document; a null id comes before all others
+    left = factors.remove(docs, factors.parse(docs)).select("doc_id", "n_words", "n_removed").collect()
+    assert counts(left) == Counter({(None, 45, 0): 2, (3, 45, 45): 2, (4, 2, 0): 2, (5, 0, 0): 1})
+    mixed = mixing.mix(docs).select("doc_id", "size", "source_size", "taken").collect()
+    assert sum(r.taken for r in mixed) == 184 and Counter(r.doc_id for r in mixed) == Counter(i for i, _ in rows) and all(r.taken <= 3 * r["size"] for r in mixed)
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (None, None), (None, None)], "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    assert counts(url_rules.judge_urls(pages, rules).collect()) == Counter({(1, "a.net", "/x", "net/", "block"): 2, (None, "", "", None, "allow"): 2})
+
+
+def test_warc_of_repeated_rows(spark):
+    big = "y" * 1500
+    rows = [(1, "u", big), (1, "u", big), (2, "u", "z"), (2, "u", "z"), (None, None, None), (None, None, big)]
+    path = new_path(spark, "test")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = sorted((warc_id(r.headers), field(r.headers, "WARC-Type"), len(r.payload)) for r in warc.read_warc(spark, path).collect())
+    assert got == [("", "response", 0), ("", "revisit", 0), ("1", "response", 1500), ("1", "response", 1500), ("2", "response", 1), ("2", "response", 1)]
+
+
+def test_counts_of_another_tokenizer(spark, texts):
+    """A tokenizer that cuts in another way gets whole texts."""
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(path)
+    some = texts[:40]
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(documents(spark, some), path).collect()}
+    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in some}
+
+
+def test_seats_of_many_equal_parties(spark):
+    """Far fewer seats than parties, all quotients equal: the first in order get them."""
+    df = spark.range(2000).select(F.lit("g").alias("g"), F.col("id").alias("k"), F.lit(100.0).alias("v"), F.lit(700).alias("s"))
+    got = {r.k: r.quota for r in mixing.sainte_lague(df, ["g"], "v", "s", ["k"]).collect()}
+    assert got == {k: int(k < 700) for k in range(2000)}

@@ -2,9 +2,15 @@
 
 import glob
 import os
+import re
+import zlib
+from collections import Counter
 
+import brute
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from spanveil.llm import queries as q
@@ -39,6 +45,12 @@ def test_stages(spark):
             assert docs.columns == columns
         if name in ("quality", "exact", "near"):
             assert docs.exceptAll(before).count() == 0 and 0 < docs.count() <= before.count()
+    raw = [(r.doc_id, r.text) for r in q.table(spark, SF, "documents").collect()]
+    marks = [(r.doc_id, r.quality, r.toxic) for r in q.table(spark, SF, "labels").collect()]
+    judged = brute.resampled(spark, raw, marks)
+    close = {i for i, _, _, key, kth in judged if key is not None and abs(key - kth) < 0.2}
+    kept = {i for i, _, _, key, kth in judged if key is None or key >= kth}
+    assert {r.doc_id for r in seen["quality"].collect()} ^ kept <= close
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     texts = lambda name: {r.doc_id: (r.text or "") for r in seen[name].collect()}
     quality, exact, near = texts("quality"), texts("exact"), texts("near")
@@ -65,7 +77,32 @@ def test_stages(spark):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     assert sorted(near) == sorted(i for i in sets if top(i) == i)
+    con = duckdb.connect()
+    con.register("documents", seen["near"].toArrow())
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    want = Counter()
+    for i, taken in con.sql(q.ORACLE["op7_mix_sources"]).select("doc_id, taken").fetchall():
+        words = word.findall(near[i])
+        if taken:
+            want[i, near[i]] += taken // len(words)
+            want[i, " ".join(words[: taken % len(words)])] += taken % len(words) > 0
+    mixed = Counter((r.doc_id, r.text) for r in seen["mixed"].collect())
+    assert mixed == +want
+    tok = Tokenizer.from_file(q.tokenizer_path())
+    tokens = {}
+    for (i, t), n in mixed.items():
+        tokens[i] = tokens.get(i, Counter()) + Counter([*tok.encode(t, add_special_tokens=False).ids, 2] * n)
     pieces = seen["packed"].collect()
-    assert {r.doc_id for r in pieces} == {r.doc_id for r in seen["mixed"].collect()}
-    assert all(len(r.ids) == 4 * r.length for r in pieces)
+    assert all(len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids) for r in pieces)
+    got = {}
+    for r in pieces:
+        got[r.doc_id] = got.get(r.doc_id, Counter()) + Counter(np.frombuffer(bytes(r.ids), "<u4").tolist())
+    assert got == tokens
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in pieces}
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = q.table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = keep(stage(spark, docs, SF), f"e-{name}")
+        assert docs.count() == 0

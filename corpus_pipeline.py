@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanveil.llm import content_sort, importance, mixing, packing, parity_join
 from spanveil.llm.queries import table, tokenizer_path
-from spanveil.llm.scratch import keep
+from spanveil.llm.scratch import keep, mark, release
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -56,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, start = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, start, but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

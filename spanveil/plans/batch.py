@@ -36,9 +36,9 @@ def windows(texts: DataFrame, text: str = "text", config: EngineConfig = EngineC
     """Overlapping windows of each text: window_start and chunk; each stride begins one, with a halo before and after."""
     n = F.length(text)
     at = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(config.window_stride))).otherwise(F.array().cast("array<int>")))
-    low = F.greatest(F.lit(0), F.col("at") - config.window_halo)
-    cut_at = F.least(n, F.col("at") + config.window_stride + config.window_halo)
-    return texts.withColumn("at", at).withColumn("window_start", low).withColumn("chunk", cut(F.col(text), low, cut_at)).drop("at", text)
+    low = F.greatest(F.lit(0), F.col("_at") - config.window_halo)
+    cut_at = F.least(n, F.col("_at") + config.window_stride + config.window_halo)
+    return texts.withColumn("_at", at).withColumn("window_start", low).withColumn("chunk", cut(F.col(text), low, cut_at)).drop("_at", text)
 
 
 def redact_long(texts: DataFrame, key: str, text: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -71,10 +71,10 @@ def parts(text: Column, limit: int) -> Column:
     return F.aggregate(rounds, start, step, lambda acc: acc["out"])
 
 
-def numbered_parts(texts: DataFrame, key: str, limit: int, text: str = "text") -> DataFrame:
+def numbered_parts(texts: DataFrame, key: str, limit: int = EngineConfig.part_chars, text: str = "text") -> DataFrame:
     """key, part (from 1), name, part_text, sha256, chars of the parts of each text."""
-    cut_up = texts.select(key, F.posexplode(parts(F.coalesce(F.col(text), F.lit("")), limit)).alias("at", "part_text"))
-    number = F.col("at") + 1
+    cut_up = texts.select(key, F.posexplode(parts(F.coalesce(F.col(text), F.lit("")), limit)).alias("_part", "part_text"))
+    number = F.col("_part") + 1
     name = F.concat(F.lit("parte-"), F.lpad(number.cast("string"), 4, "0"), F.lit(".txt"))
     return cut_up.select(key, number.alias("part"), F.when(number > 9999, F.concat(F.lit("parte-"), number.cast("string"), F.lit(".txt"))).otherwise(name).alias("name"), "part_text", F.sha2("part_text", 256).alias("sha256"), F.length("part_text").alias("chars"))
 

@@ -37,7 +37,7 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2000
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
+def keep(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write df once and read it back: cuts the lineage, survives lost executors, has exact sizes for the planner."""
     spark = df.sparkSession
     path = new_path(spark, tag)
@@ -45,7 +45,7 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     spark.conf.set(CLEANUP, "true")
     spark.conf.set(BATCH, str(min(BATCH_ROWS, int(before[BATCH]))))
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

@@ -111,7 +111,7 @@ def verified(nodes: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row a verified record: file, pos, headers, payload (binary)."""
-    pieces = keep(_pieces(spark, path), "warc-pieces")
+    pieces = keep(_pieces(spark, path), "warc-pieces", "zstd")
     every = keep(candidates(pieces), "warc-candidates")
     nodes = every.where("pos is not null")
     order = Window.partitionBy("file", "block").orderBy("pos")

@@ -3,6 +3,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,10 +22,10 @@ def duck():
 
 def rows(df):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
-        if isinstance(v, float):
-            return round(v, 9)
+        if isinstance(v, float):  # whole numbers of a column with nulls come as floats
+            return int(v) if v.is_integer() else round(v, 9)
         return v.item() if hasattr(v, "item") else v
 
     cols = sorted(df.columns)

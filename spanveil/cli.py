@@ -72,11 +72,15 @@ def run_evaluation(spark: SparkSession, corpus: str, baseline: str | None, save:
     if not pages.limit(1).count():
         return 2
     level = evaluation.text_level(pages, config)
-    old = outputs.read_baseline(spark.read.schema("outcomes map<string,string>").json(baseline)) if baseline else None
+    digest = readers.corpus_hash(readers.binary_files(spark, corpus)).first()[0]
+    old, warning = outputs.load_baseline(spark, baseline, digest) if baseline and _exists(spark, baseline) else (None, None)
+    if warning:
+        print(warning, file=sys.stderr)
     for row in evaluation.report(level, old).toLocalIterator():
         print(row.line)
     if save:
-        outputs.baseline(level.outcomes.select("key", "outcome"), level.false).coalesce(1).write.mode("overwrite").json(save)
+        new = outputs.baseline(level.outcomes.select("key", "outcome"), level.false)
+        new.withColumns({"level": F.lit("text"), "corpus_hash": F.lit(digest)}).coalesce(1).write.mode("overwrite").json(save)
     return evaluation.exit_status(level, old)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pages with fewer characters than this are warned of.
@@ -58,6 +58,13 @@ def read_baseline(df: DataFrame) -> DataFrame:
     return df.select(F.explode("outcomes").alias("key", "outcome"))
 
 
+def load_baseline(spark: SparkSession, path: str, corpus_hash: str) -> tuple[DataFrame, str | None]:
+    """(key, outcome) of a baseline file, and a warning if it was made on another corpus; it is compared all the same."""
+    found = spark.read.schema("outcomes map<string,string>, corpus_hash string").json(path, multiLine=True)
+    made_on = found.first().corpus_hash
+    return read_baseline(found), f"the baseline was made on another corpus ({made_on})" if made_on not in (None, corpus_hash) else None
+
+
 def region_overlap(boxes: Column, gold: Column) -> Column:
     """Share of the boxes' common frame inside gold rectangles, whose overlaps count twice, at most 1; 1 without boxes."""
     frame = F.struct(

@@ -23,8 +23,10 @@ def _words(spark, sf_dir) -> DataFrame:
 _WORD_SQL = """SELECT conv_id, turn AS par, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM conversations"""
 
 
-@query(f"""SELECT conv_id, par, string_agg(trim(w), ' ' ORDER BY i) AS txt, min(i * 10)::DOUBLE AS x0, min(par * 20 + i % 3)::DOUBLE AS y0, max(i * 10 + 8)::DOUBLE AS x1, max(par * 20 + i % 3 + 12)::DOUBLE AS y1,
-  round(avg(greatest(i * 7 % 101 - 1, 0) / 100.0), 6)::DOUBLE AS confidence, (sum(length(trim(w))) + count(*) - 1)::INT AS last_word_end FROM ({_WORD_SQL}) t WHERE i % 11 <> 10 AND trim(w) <> '' GROUP BY conv_id, par""")
+@query(f"""SELECT conv_id, par, string_agg(trim(w), ' ' ORDER BY i) AS txt, min(i * 10)::DOUBLE AS x0, min(par * 20 + i % 3)::DOUBLE AS y0, max(i * 10 + 8)::DOUBLE AS x1,
+  max(par * 20 + i % 3 + 12)::DOUBLE AS y1,
+  round(avg(greatest(i * 7 % 101 - 1, 0) / 100.0), 6)::DOUBLE AS confidence, (sum(length(trim(w))) + count(*) - 1)::INT AS last_word_end FROM ({_WORD_SQL}) t
+  WHERE i % 11 <> 10 AND trim(w) <> '' GROUP BY conv_id, par""")
 def ocr_tsv_lines(spark, sf_dir):
     words = _words(spark, sf_dir)
     out = layout.tsv_lines(words, ["conv_id"], keep=["par"])
@@ -48,7 +50,8 @@ def ocr_detections(spark, sf_dir):
 _CONF = "((turn * 37 + conv_id * 11) % 60 + 40) / 100.0"
 
 
-@query(f"SELECT conv_id, min({_CONF}) >= 0.65 AS accepted FROM conversations GROUP BY conv_id UNION ALL SELECT DISTINCT -conv_id - 1 AS conv_id, false AS accepted FROM conversations")
+@query(f"""SELECT conv_id, min({_CONF}) >= 0.65 AS accepted FROM conversations GROUP BY conv_id UNION ALL SELECT DISTINCT -conv_id - 1 AS conv_id, false AS accepted
+  FROM conversations""")
 def any_line_gate(spark, sf_dir):
     lines = read(spark, sf_dir, "conversations").select("conv_id", F.expr(_CONF).cast("double").alias("confidence"))
     pages = lines.select("conv_id").distinct()
@@ -72,7 +75,8 @@ def gold_marker_texts(spark, sf_dir):
 
 
 # A level line of three words of five characters, ten pixels a character; the span touches the second word.
-@query("SELECT c_custkey AS k, round(60 - 0.6 * 50 / 5, 6)::DOUBLE AS x0, round(k0 - 0.08 * 20, 6)::DOUBLE AS y0, round(110 + 0.6 * 50 / 5, 6)::DOUBLE AS x1, round(k0 + 20 + 0.08 * 20, 6)::DOUBLE AS y1 FROM (SELECT c_custkey, (c_custkey % 100)::DOUBLE AS k0 FROM customer)")
+@query("""SELECT c_custkey AS k, round(60 - 0.6 * 50 / 5, 6)::DOUBLE AS x0, round(k0 - 0.08 * 20, 6)::DOUBLE AS y0, round(110 + 0.6 * 50 / 5, 6)::DOUBLE AS x1,
+  round(k0 + 20 + 0.08 * 20, 6)::DOUBLE AS y1 FROM (SELECT c_custkey, (c_custkey % 100)::DOUBLE AS k0 FROM customer)""")
 def word_boxes(spark, sf_dir):
     y = (F.col("c_custkey") % 100).cast("double")
     words = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(a + 5).alias("b"), F.lit(a * 10.0).alias("x0"), F.lit(a * 10.0 + 50).alias("x1")) for a in (0, 6, 12)])
@@ -83,8 +87,10 @@ def word_boxes(spark, sf_dir):
 
 
 # A line of ten wide small letters, turned: it rises by k % 5 tenths of its length; the span is its second half.
-@query("""SELECT k, round(tx, 6)::DOUBLE AS top_x, round(ty, 6)::DOUBLE AS top_y, round(tx + 20 * h * 1.16, 6)::DOUBLE AS base_x, round(ty + 20 * 1.16, 6)::DOUBLE AS base_y FROM (
-SELECT c_custkey AS k, h, 100 * t - 20 * h * 0.08 AS tx, 10 + 10 * (c_custkey % 5) * t - 20 * 0.08 AS ty FROM (SELECT c_custkey, (c_custkey % 3) / 10.0 AS h, greatest(0, 0.5 - 0.06) AS t FROM customer))""")
+@query("""SELECT k, round(tx, 6)::DOUBLE AS top_x, round(ty, 6)::DOUBLE AS top_y, round(tx + 20 * h * 1.16, 6)::DOUBLE AS base_x, round(ty + 20 * 1.16, 6)::DOUBLE AS base_y
+  FROM (
+SELECT c_custkey AS k, h, 100 * t - 20 * h * 0.08 AS tx, 10 + 10 * (c_custkey % 5) * t - 20 * 0.08 AS ty
+  FROM (SELECT c_custkey, (c_custkey % 3) / 10.0 AS h, greatest(0, 0.5 - 0.06) AS t FROM customer))""")
 def turned_line_boxes(spark, sf_dir):
     k = F.col("c_custkey")
     h, rise = (k % 3) / 10.0, 10.0 * (k % 5)
@@ -96,7 +102,9 @@ def turned_line_boxes(spark, sf_dir):
     return q.select("k", corner(1, "x").alias("top_x"), corner(1, "y").alias("top_y"), corner(4, "x").alias("base_x"), corner(4, "y").alias("base_y"))
 
 
-@query("""SELECT c_custkey AS k, abs(x2 - x1) >= 8 AND abs(y2 - y1) >= 8 AS drawn, CASE WHEN abs(x2 - x1) >= 8 AND abs(y2 - y1) >= 8 THEN greatest(0, least(100, least(x1, x2)))::DOUBLE END AS x0, CASE WHEN abs(x2 - x1) >= 8 AND abs(y2 - y1) >= 8 THEN greatest(0, least(80, greatest(y1, y2)))::DOUBLE END AS y1
+@query("""SELECT c_custkey AS k, abs(x2 - x1) >= 8 AND abs(y2 - y1) >= 8 AS drawn,
+  CASE WHEN abs(x2 - x1) >= 8 AND abs(y2 - y1) >= 8 THEN greatest(0, least(100, least(x1, x2)))::DOUBLE END AS x0,
+  CASE WHEN abs(x2 - x1) >= 8 AND abs(y2 - y1) >= 8 THEN greatest(0, least(80, greatest(y1, y2)))::DOUBLE END AS y1
 FROM (SELECT c_custkey, c_custkey % 31 - 5 AS x1, c_custkey % 17 AS x2, c_custkey % 23 AS y1, c_custkey % 97 AS y2 FROM customer)""")
 def drawn_boxes(spark, sf_dir):
     k = F.col("c_custkey")
@@ -113,7 +121,8 @@ def upright_boxes(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(k.alias("k"), layout.upright(quad).isNotNull().alias("level"))
 
 
-@query("""SELECT c_custkey AS k, round(least(x, -x) * abs(cos(r)) - y * abs(sin(r)) + 50, 4)::DOUBLE AS x0, round(x * abs(cos(r)) + y * abs(sin(r)) + 50, 4)::DOUBLE AS x1 FROM (SELECT c_custkey, (10 + c_custkey % 20)::DOUBLE AS x, (5 + c_custkey % 7)::DOUBLE AS y, radians(c_custkey % 360) AS r FROM customer)""")
+@query("""SELECT c_custkey AS k, round(least(x, -x) * abs(cos(r)) - y * abs(sin(r)) + 50, 4)::DOUBLE AS x0, round(x * abs(cos(r)) + y * abs(sin(r)) + 50, 4)::DOUBLE AS x1
+  FROM (SELECT c_custkey, (10 + c_custkey % 20)::DOUBLE AS x, (5 + c_custkey % 7)::DOUBLE AS y, radians(c_custkey % 360) AS r FROM customer)""")
 def rotated_boxes(spark, sf_dir):
     k = F.col("c_custkey")
     x, y = (10 + k % 20).cast("double"), (5 + k % 7).cast("double")
@@ -122,7 +131,8 @@ def rotated_boxes(spark, sf_dir):
     return out.select("k", F.round("b.x0", 4).alias("x0"), F.round("b.x1", 4).alias("x1"))
 
 
-@query("SELECT c_custkey AS k, greatest(0, floor(a))::INT AS x0, least(100, ceil(b))::INT AS x1 FROM (SELECT c_custkey, c_custkey % 50 / 4.0 - 3 AS a, c_custkey % 50 / 3.0 + 90 AS b FROM customer)")
+@query("""SELECT c_custkey AS k, greatest(0, floor(a))::INT AS x0, least(100, ceil(b))::INT AS x1
+  FROM (SELECT c_custkey, c_custkey % 50 / 4.0 - 3 AS a, c_custkey % 50 / 3.0 + 90 AS b FROM customer)""")
 def outward_boxes(spark, sf_dir):
     k = F.col("c_custkey")
     box = F.struct((k % 50 / 4.0 - 3).alias("x0"), F.lit(0.0).alias("y0"), (k % 50 / 3.0 + 90).alias("x1"), F.lit(1.0).alias("y1"))
@@ -138,7 +148,8 @@ def _entities(spark, sf_dir) -> DataFrame:
     return spark.sql(_ENTITIES)
 
 
-@query(f"SELECT page_id, upper(label) AS label, count(*) AS n, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS members, row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(idx)) AS rank FROM ({_ENTITIES}) e WHERE NOT unmapped GROUP BY page_id, upper(label)")
+@query(f"""SELECT page_id, upper(label) AS label, count(*) AS n, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS members, row_number() OVER (PARTITION BY page_id
+  ORDER BY count(*) DESC, min(idx)) AS rank FROM ({_ENTITIES}) e WHERE NOT unmapped GROUP BY page_id, upper(label)""")
 def display_groups(spark, sf_dir):
     out = layout.display_groups(_entities(spark, sf_dir).withColumnRenamed("idx", "index"), ["page_id"])
     return out.select("page_id", "label", "n", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("members"), F.col("rank").cast("long").alias("rank"))
@@ -166,13 +177,15 @@ def neutral_names(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", batch.neutral_name(template, F.lit("doc"), F.lit("2024-05-06"), k, F.lit("png")).alias("name"))
 
 
-@query("SELECT lang, count(*) AS units, sum(n_chars)::BIGINT AS chars, sum(doc_id % 3)::BIGINT AS substitutions, CASE WHEN bool_or(doc_id % 50 = 7) THEN 'pending' ELSE 'review' END AS state FROM documents GROUP BY lang")
+@query("""SELECT lang, count(*) AS units, sum(n_chars)::BIGINT AS chars, sum(doc_id % 3)::BIGINT AS substitutions,
+  CASE WHEN bool_or(doc_id % 50 = 7) THEN 'pending' ELSE 'review' END AS state FROM documents GROUP BY lang""")
 def batch_totals(spark, sf_dir):
     units = read(spark, sf_dir, "documents").select("lang", F.col("n_chars").alias("chars"), (F.col("doc_id") % 3).alias("n_spans"), F.when(F.col("doc_id") % 50 == 7, "failed").otherwise("done").alias("status"))
     return batch.totals(units, ["lang"])
 
 
-@query(f"SELECT page_id, idx AS entity_index, label FROM ({_ENTITIES}) e WHERE idx % 4 <> 1 UNION ALL SELECT page_id, NULL, 'MANUAL' FROM (SELECT DISTINCT page_id FROM ({_ENTITIES}) d) m")
+@query(f"""SELECT page_id, idx AS entity_index, label FROM ({_ENTITIES}) e WHERE idx % 4 <> 1 UNION ALL SELECT page_id, NULL, 'MANUAL' FROM (SELECT DISTINCT page_id
+  FROM ({_ENTITIES}) d) m""")
 def user_overrides(spark, sf_dir):
     e = _entities(spark, sf_dir).select("page_id", F.col("idx").alias("entity_index"), "label")
     left_out = e.where("entity_index % 4 = 1")
@@ -193,7 +206,7 @@ def model_replies(spark, sf_dir):
     return out.select("k", "r.error", F.when(F.col("r.entities").isNotNull(), F.size("r.entities")).alias("n"), found.alias("found"))
 
 
-@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'detector_absent' WHEN c_custkey % 3 <> 0 THEN 'ocr_lost' WHEN c_custkey % 5 <> 0 THEN 'model_miss' WHEN c_custkey % 7 <> 0 THEN 'mapping_loss' END AS cause FROM customer")
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'detector_absent' WHEN c_custkey % 3 <> 0 THEN 'ocr_lost' WHEN c_custkey % 5 <> 0 THEN 'model_miss' WHEN c_custkey % 7 <> 0 THEN 'mapping_loss' END AS cause FROM customer""")
 def miss_causes(spark, sf_dir):
     k = F.col("c_custkey")
     return read(spark, sf_dir, "customer").select(k.alias("k"), evaluate.miss_cause(k % 3 == 0, k % 5 == 0, k % 7 == 0, k % 2 == 0).alias("cause"))
@@ -202,8 +215,11 @@ def miss_causes(spark, sf_dir):
 _PAGE_CHARS = "SELECT conv_id, turn AS page_index, CASE WHEN turn % 4 = 3 THEN 5 ELSE 40 END AS chars FROM conversations"
 
 
-@query(f"""WITH p AS ({_PAGE_CHARS}), k AS (SELECT page_id, count(*) FILTER (upper(label) = 'CPF') AS cpf, count(*) AS n FROM ({_ENTITIES}) e WHERE page_id % 3 > 0 GROUP BY page_id)
-SELECT p.conv_id, count(*) AS pages, coalesce(any_value(n), 0) AS covered, any_value(cpf) AS cpf, CASE WHEN count(*) > 1 THEN count(*) FILTER (chars < 20) ELSE 0 END + CASE WHEN any_value(n) IS NULL THEN 1 ELSE 0 END AS warnings FROM p LEFT JOIN k ON k.page_id = p.conv_id GROUP BY p.conv_id""")
+@query(f"""WITH p AS ({_PAGE_CHARS}), k AS (SELECT page_id, count(*) FILTER (upper(label) = 'CPF') AS cpf, count(*) AS n FROM ({_ENTITIES}) e WHERE page_id % 3 > 0
+  GROUP BY page_id)
+SELECT p.conv_id, count(*) AS pages, coalesce(any_value(n), 0) AS covered, any_value(cpf) AS cpf,
+  CASE WHEN count(*) > 1 THEN count(*) FILTER (chars < 20) ELSE 0 END + CASE WHEN any_value(n) IS NULL THEN 1 ELSE 0 END AS warnings FROM p LEFT
+  JOIN k ON k.page_id = p.conv_id GROUP BY p.conv_id""")
 def summaries(spark, sf_dir):
     read(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
     e = _entities(spark, sf_dir).where("page_id % 3 > 0").select(F.col("page_id").alias("conv_id"), F.concat(F.lit("["), F.upper("label"), F.lit("]")).alias("redacted"))
@@ -220,7 +236,7 @@ def title_case_model(chunks: DataFrame) -> DataFrame:
 _CAPS = "SELECT c_custkey AS k, 'exame sem achados' || chr(10) || CASE c_custkey % 3 WHEN 0 THEN 'ANTONIA RIBEIRO' WHEN 1 THEN 'BENTO CARDOSO LIMA' ELSE 'Celia Duarte' END || chr(10) || 'fim de pagina' AS text FROM customer"
 
 
-@query("SELECT c_custkey AS k, 18 AS start, (18 + [15, 18, 12][(c_custkey % 3 + 1)::BIGINT])::INT AS \"end\", 'PERSON' AS label, ['ANTONIA RIBEIRO', 'BENTO CARDOSO LIMA', 'Celia Duarte'][(c_custkey % 3 + 1)::BIGINT] AS txt FROM customer")
+@query("""SELECT c_custkey AS k, 18 AS start, (18 + [15, 18, 12][(c_custkey % 3 + 1)::BIGINT])::INT AS "end", 'PERSON' AS label, ['ANTONIA RIBEIRO', 'BENTO CARDOSO LIMA', 'Celia Duarte'][(c_custkey % 3 + 1)::BIGINT] AS txt FROM customer""")
 def caps_retry(spark, sf_dir):
     read(spark, sf_dir, "customer").createOrReplaceTempView("customer")
     texts = spark.sql(_CAPS).repartition("k")
@@ -228,7 +244,8 @@ def caps_retry(spark, sf_dir):
 
 
 # What a language model suggests enters the same steps as a model's spans.
-@query("SELECT c_custkey AS k, x.start::INT AS start, (x.start + length(x.txt))::INT AS \"end\", x.label, x.txt FROM customer, (VALUES (6, 'INSURANCE_ID', 'AB-77'), (24, 'INSURANCE_ID', 'AB-77'), (41, 'PERSON', 'Rita')) x(start, label, txt) WHERE c_custkey % 2 = 0")
+@query("""SELECT c_custkey AS k, x.start::INT AS start, (x.start + length(x.txt))::INT AS "end", x.label, x.txt
+  FROM customer, (VALUES (6, 'INSURANCE_ID', 'AB-77'), (24, 'INSURANCE_ID', 'AB-77'), (41, 'PERSON', 'Rita')) x(start, label, txt) WHERE c_custkey % 2 = 0""")
 def detect_with_suggestions(spark, sf_dir):
     texts = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("ficha AB-77 aberta, ver AB-77; falou com Rita").alias("text")).repartition("k")
     rows = texts.where("k % 2 = 0").select("k", F.inline(F.array(*[F.struct(F.lit(v).alias("value"), F.lit(n).alias("label")) for v, n in (("AB-77", "insurance_id"), ("Rita", "person"), ("nowhere", "person"))])))

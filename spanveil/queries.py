@@ -205,7 +205,8 @@ def expand_person(spark, sf_dir):
 
 
 # A fragment of a number with wrong check digits stays a document number above the threshold; below it the classifier decides, and knows no more than that it is a number.
-@query(fixtures.duck(f"SELECT CASE WHEN valid THEN label WHEN 0.3 >= threshold THEN 'BR_DOC' ELSE 'NUMERO' END AS label, threshold::DOUBLE AS threshold, count(*) AS n FROM ({fixtures.GOLD_SQL}) g, (VALUES (0.2), (0.5), (0.95)) t(threshold) GROUP BY ALL"))
+@query(fixtures.duck(f"""SELECT CASE WHEN valid THEN label WHEN 0.3 >= threshold THEN 'BR_DOC' ELSE 'NUMERO' END AS label, threshold::DOUBLE AS threshold, count(*) AS n
+  FROM ({fixtures.GOLD_SQL}) g, (VALUES (0.2), (0.5), (0.95)) t(threshold) GROUP BY ALL"""))
 def threshold_sweep(spark, sf_dir):
     df = fragments(spark, sf_dir)
     out = None
@@ -259,23 +260,27 @@ def _as_arrays(df: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS ({_SPANS}) SELECT page_id, start, "end", label FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.page_id = a.page_id AND (b.start <> a.start OR b."end" <> a."end") AND b.start <= a.start AND b."end" >= a."end")"""
+    f"""WITH s AS ({_SPANS}) SELECT page_id, start, "end", label FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b
+  WHERE b.page_id = a.page_id AND (b.start <> a.start OR b."end" <> a."end") AND b.start <= a.start AND b."end" >= a."end")"""
 )
 def drop_contained(spark, sf_dir):
     return flat(_as_arrays(order_spans(spark, sf_dir)).select("page_id", spans.drop_contained(F.col("spans")).alias("spans")), "page_id").select("page_id", "start", "end", "label")
 
 
 @query(
-    f"""WITH s AS ({_SPANS}), g AS (SELECT *, coalesce(start >= max("end") OVER (PARTITION BY page_id ORDER BY start, "end", label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM s),
+    f"""WITH s AS ({_SPANS}), g AS (SELECT *, coalesce(start >= max("end") OVER (PARTITION BY page_id
+  ORDER BY start, "end", label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM s),
 i AS (SELECT *, sum(new::INT) OVER (PARTITION BY page_id ORDER BY start, "end", label ROWS UNBOUNDED PRECEDING) AS island FROM g)
-SELECT page_id, min(start) AS start, max("end") AS "end", CASE WHEN min(label) = max(label) THEN min(label) ELSE 'REDACTED' END AS label FROM i GROUP BY page_id, island"""
+SELECT page_id, min(start) AS start, max("end") AS "end", CASE WHEN min(label) = max(label) THEN min(label) ELSE 'REDACTED' END AS label FROM i
+  GROUP BY page_id, island"""
 )
 def union_windows(spark, sf_dir):
     return spans.union_windows(order_spans(spark, sf_dir), ["page_id"])
 
 
 @query(
-    f"""WITH s AS ({_SPANS}) SELECT page_id, start, "end", max_by(label, CASE label WHEN 'EMAIL' THEN 80 WHEN 'PERSON' THEN 55 ELSE 48 END) AS label FROM s GROUP BY page_id, start, "end\""""
+    f"""WITH s AS ({_SPANS}) SELECT page_id, start, "end", max_by(label, CASE label WHEN 'EMAIL' THEN 80 WHEN 'PERSON' THEN 55 ELSE 48 END) AS label FROM s
+  GROUP BY page_id, start, "end\""""
 )
 def dedup_spans(spark, sf_dir):
     return flat(_as_arrays(order_spans(spark, sf_dir)).select("page_id", spans.dedup(F.col("spans")).alias("spans")), "page_id").select("page_id", "start", "end", "label")
@@ -286,7 +291,8 @@ _GAP_TEXT = "substr(repeat('x, ', 120), e + 1, greatest(0, s2 - e))"
 
 # One span after the other: each joins the last one of its text or begins the next.
 @query(
-    f"""WITH RECURSIVE o AS (SELECT page_id, start AS s2, "end" AS e2, label AS l2, row_number() OVER (PARTITION BY page_id ORDER BY start, "end" DESC, label) AS i FROM ({_SPANS}) t),
+    f"""WITH RECURSIVE o AS (SELECT page_id, start AS s2, "end" AS e2, label AS l2, row_number() OVER (PARTITION BY page_id ORDER BY start, "end" DESC, label) AS i
+  FROM ({_SPANS}) t),
 r AS (SELECT page_id, i, 1::BIGINT AS g, s2 AS s, e2 AS e, l2 AS l FROM o WHERE i = 1
   UNION ALL SELECT page_id, i, CASE WHEN joins THEN g ELSE g + 1 END, CASE WHEN joins THEN s ELSE s2 END, CASE WHEN joins THEN greatest(e, e2) ELSE e2 END, l2 FROM (
     SELECT o.page_id, o.i, g, s, e, s2, e2, l2, l = l2 AND (s2 <= e OR (s2 - e <= 3 AND regexp_full_match({_GAP_TEXT}, '[ .,/:;()_-]*')) OR (l = 'PERSON' AND s2 - e <= 12 AND regexp_full_match({_GAP_TEXT}, '[a-zA-Z ]*'))) AS joins
@@ -310,8 +316,10 @@ _LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 
 
 @query(f"""{_LINES}, k AS (SELECT * FROM l WHERE length(line) > 0)
-SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS char_start,
-  CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) AS INT) AS char_end FROM k""")
+SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id
+  ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS char_start,
+  CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id
+  ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) AS INT) AS char_end FROM k""")
 def ocr_offset_map(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "txt"))
     return layout.with_offsets(lines, ["doc_id"]).select("doc_id", "line_no", "char_start", "char_end")
@@ -374,22 +382,25 @@ def note_page(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return gold, boxed
 
 
-@query(fixtures.duck(f"SELECT note_id, char_start AS start, label, CAST(CASE WHEN label IN ('BR_RG', 'BR_CNPJ') THEN 0 ELSE 1 END AS INT) AS n_boxes, label IN ('BR_RG', 'BR_CNPJ') AS unmapped FROM ({fixtures.GOLD_SQL}) g"))
+@query(fixtures.duck(f"""SELECT note_id, char_start AS start, label, CAST(CASE WHEN label IN ('BR_RG', 'BR_CNPJ') THEN 0 ELSE 1 END AS INT) AS n_boxes, label IN ('BR_RG', 'BR_CNPJ') AS unmapped FROM ({fixtures.GOLD_SQL}) g"""))
 def span_to_lines(spark, sf_dir):
     gold, lines = note_page(spark, sf_dir)
     return layout.span_boxes(gold, lines, ["note_id"]).select("note_id", "start", "label", F.size("boxes").alias("n_boxes"), "unmapped")
 
 
-@query(fixtures.duck(f"SELECT note_id, count(*) AS entities, count(*) FILTER (label IN ('BR_RG', 'BR_CNPJ')) AS unmapped, count(*) FILTER (label IN ('BR_RG', 'BR_CNPJ')) = 0 AS exportable FROM ({fixtures.GOLD_SQL}) g GROUP BY note_id"))
+@query(fixtures.duck(f"""SELECT note_id, count(*) AS entities, count(*) FILTER (label IN ('BR_RG', 'BR_CNPJ')) AS unmapped, count(*) FILTER (label IN ('BR_RG', 'BR_CNPJ')) = 0 AS exportable
+  FROM ({fixtures.GOLD_SQL}) g GROUP BY note_id"""))
 def export_gate(spark, sf_dir):
     gold, lines = note_page(spark, sf_dir)
     return layout.export_gate(layout.span_boxes(gold, lines, ["note_id"]), "note_id")
 
 
 _NOTE_LINES = f"SELECT note_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no, text FROM ({fixtures.NOTES_SQL}) n"
-_SUBBOX = f"""WITH l AS ({_NOTE_LINES}), p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY note_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
+_SUBBOX = f"""WITH l AS ({_NOTE_LINES}), p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY note_id
+  ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
 b AS (SELECT g.note_id, char_start AS start, line, line_no, substr(line, 1, (char_start - pos)::BIGINT) AS pa, substr(line, 1, (char_end - pos)::BIGINT) AS pb, 0.6 / length(line) AS pad, 10.0 * length(line) AS w
-  FROM ({fixtures.GOLD_SQL}) g JOIN p ON p.note_id = g.note_id AND char_start >= pos AND char_end <= pos + length(line) WHERE line NOT LIKE 'RG%' AND line NOT LIKE 'Cartao%')
+  FROM ({fixtures.GOLD_SQL}) g JOIN p ON p.note_id = g.note_id AND char_start >= pos AND char_end <= pos + length(line)
+  WHERE line NOT LIKE 'RG%' AND line NOT LIKE 'Cartao%')
 SELECT note_id, start, floor(w * greatest(0, {_width('pa')} / {_width('line')} - pad))::INT AS x0, greatest(0, floor(line_no * 10 - 0.64))::INT AS y0,
   least(1240, ceil(round(w * least(1, {_width('pb')} / {_width('line')} + pad), 9)))::INT AS x1, ceil(line_no * 10 + 8.64)::INT AS y1 FROM b"""
 
@@ -422,7 +433,9 @@ def mock_page_spans(spark, sf_dir):
     return flat(pipeline.detect(text, config=EngineConfig(mode="mock")), "page_id").select("page_id", "start", "end", "label", "txt")
 
 
-@query("SELECT doc_id, CAST(a AS INT) AS window_start, CAST(length(text[a + 1:b]) AS INT) AS n_chars FROM (SELECT doc_id, text, greatest(0, p - 1000) AS a, least(length(text), p + 13000) AS b FROM (SELECT doc_id, text, unnest(range(0, length(text), 12000)) AS p FROM documents))")
+@query("""SELECT doc_id, CAST(a AS INT) AS window_start, CAST(length(text[a + 1:b]) AS INT) AS n_chars
+  FROM (SELECT doc_id, text, greatest(0, p - 1000) AS a, least(length(text), p + 13000) AS b FROM (SELECT doc_id, text, unnest(range(0, length(text), 12000)) AS p
+  FROM documents))""")
 def chunk_windows(spark, sf_dir):
     out = batch.windows(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "window_start", F.length("chunk").alias("n_chars"))
@@ -433,8 +446,10 @@ def _cuts(limit: int, size: str) -> str:
     return f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
 z AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS pos, 0::BIGINT AS size FROM d
   UNION ALL SELECT doc_id, i + 1, pos, {size} FROM (
-    SELECT doc_id, i, pos, n - pos > {limit} AS more, h, CASE WHEN contains(h, chr(10)) THEN length(h) - length(regexp_extract(h, '[^\n]*$')) - 1 ELSE -1 END AS last FROM (
-      SELECT z.doc_id, z.i, z.pos + z.size AS pos, d.n, substr(d.text, z.pos + z.size + 1, {limit}) AS h FROM z JOIN d ON d.doc_id = z.doc_id WHERE z.pos + z.size < d.n) w) v)"""
+    SELECT doc_id, i, pos, n - pos > {limit} AS more, h, CASE WHEN contains(h, chr(10)) THEN length(h) - length(regexp_extract(h, '[^\n]*$')) - 1 ELSE -1 END AS last
+  FROM (
+      SELECT z.doc_id, z.i, z.pos + z.size AS pos, d.n, substr(d.text, z.pos + z.size + 1, {limit}) AS h FROM z JOIN d ON d.doc_id = z.doc_id
+  WHERE z.pos + z.size < d.n) w) v)"""
 
 
 @query(_cuts(1000, "CASE WHEN NOT more THEN length(h) WHEN last < 500 THEN 1000 ELSE last + 1 END") + " SELECT z.doc_id, i::INT AS part, 'parte-' || lpad(i::VARCHAR, 4, '0') || '.txt' AS name, size::INT AS chars, sha256(substr(text, pos + 1, size)) AS sha256 FROM z JOIN d ON d.doc_id = z.doc_id WHERE i > 0")
@@ -449,7 +464,7 @@ def model_chunks(spark, sf_dir):
 
 
 # Of all rules only the one of e-mail addresses has matches in the documents, so SQL can follow.
-@query(f"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{EMAIL}')) AS INT) AS n_spans, sha256(regexp_replace(coalesce(text, ''), '{EMAIL}', '[EMAIL]', 'g')) AS redacted_sha256 FROM documents")
+@query(f"""SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{EMAIL}')) AS INT) AS n_spans, sha256(regexp_replace(coalesce(text, ''), '{EMAIL}', '[EMAIL]', 'g')) AS redacted_sha256 FROM documents""")
 def redact_long(spark, sf_dir):
     out = batch.redact_long(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
     return out.select("doc_id", "n_spans", F.sha2("redacted", 256).alias("redacted_sha256"))
@@ -461,12 +476,16 @@ _GOLD_NAMES = {
     "EMAIL": ("EMAIL", "CONTACT"), "CRM": ("CRM", "DOC_NUM"), "BR_RG": ("RG", "DOC_NUM"), "BR_CNPJ": ("CNPJ", "ORG"),
 }
 _NAMED = lambda i: "CASE label " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in _GOLD_NAMES.items()) + " END"
-_GOLD_EVAL = f"""SELECT note_id AS page_id, label || '@' || CAST(char_start AS STRING) AS id, {_NAMED(0)} AS label, {_NAMED(1)} AS grp, char_start AS gs, char_end AS ge, CASE WHEN note_id % 11 = 5 THEN CAST(0.5 AS DOUBLE) END AS min_coverage FROM ({fixtures.GOLD_SQL}) g"""
+_GOLD_EVAL = f"""SELECT note_id AS page_id, label || '@' || CAST(char_start AS STRING) AS id, {_NAMED(0)} AS label, {_NAMED(1)} AS grp, char_start AS gs, char_end AS ge,
+  CASE WHEN note_id % 11 = 5 THEN CAST(0.5 AS DOUBLE) END AS min_coverage FROM ({fixtures.GOLD_SQL}) g"""
 # Predictions that miss a tail (three of ten characters of some dates), carry another label, are absent, lie across each other, or stand beside all gold.
-_PREDICTED = f"""SELECT note_id AS page_id, char_start AS start, char_end - CASE WHEN label = 'DATE' AND note_id % 5 = 1 THEN 3 WHEN note_id % 4 = 0 THEN 5 ELSE 0 END AS "end", CASE WHEN note_id % 6 = 1 THEN 'DATE' ELSE label END AS label FROM ({fixtures.GOLD_SQL}) g WHERE note_id % 10 <> 3
+_PREDICTED = f"""SELECT note_id AS page_id, char_start AS start, char_end - CASE WHEN label = 'DATE' AND note_id % 5 = 1 THEN 3 WHEN note_id % 4 = 0 THEN 5 ELSE 0 END AS "end",
+  CASE WHEN note_id % 6 = 1 THEN 'DATE' ELSE label END AS label FROM ({fixtures.GOLD_SQL}) g WHERE note_id % 10 <> 3
   UNION ALL SELECT note_id AS page_id, char_start + 2 AS start, char_end + 1 AS "end", 'BR_DOC' AS label FROM ({fixtures.GOLD_SQL}) g WHERE note_id % 7 = 2
-  UNION ALL SELECT note_id AS page_id, CAST(1000 + note_id + x AS INT) AS start, CAST(1010 + note_id AS INT) AS "end", 'EMAIL' AS label FROM vals, (SELECT 0 AS x UNION ALL SELECT 1 AS x) t WHERE note_id % 9 = 0
-  UNION ALL SELECT note_id AS page_id, char_end - 2 AS start, char_end + 8 AS "end", 'PHONE' AS label FROM ({fixtures.GOLD_SQL}) g WHERE note_id % 8 = 1 AND label = 'BR_CNPJ'"""
+  UNION ALL SELECT note_id AS page_id, CAST(1000 + note_id + x AS INT) AS start, CAST(1010 + note_id AS INT) AS "end", 'EMAIL' AS label FROM vals, (SELECT 0 AS x
+  UNION ALL SELECT 1 AS x) t WHERE note_id % 9 = 0
+  UNION ALL SELECT note_id AS page_id, char_end - 2 AS start, char_end + 8 AS "end", 'PHONE' AS label FROM ({fixtures.GOLD_SQL}) g
+  WHERE note_id % 8 = 1 AND label = 'BR_CNPJ'"""
 
 
 def gold_and_predicted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -479,7 +498,8 @@ _GROUPS = "(VALUES " + ", ".join(f"('{k}', '{g}')" for k, v in evaluate.LABEL_GR
 _NUMERIC = ", ".join(f"'{x}'" for x in evaluate.NUMERIC_GOLD)
 _SHARES = f"""SELECT e.*, avg(seen::INT) AS cov, avg(own::INT) AS cov_label FROM ({_GOLD_EVAL}) e JOIN (
     SELECT x.page_id, x.id, c, bool_or(p.start IS NOT NULL) AS seen, bool_or(coalesce(lg.of = x.grp, false)) AS own
-    FROM (SELECT page_id, id, grp, unnest(range(gs, ge)) AS c FROM ({_GOLD_EVAL}) i) x LEFT JOIN ({_PREDICTED}) p ON p.page_id = x.page_id AND p.start <= c AND c < p."end" LEFT JOIN {_GROUPS} ON lg.name = p.label
+    FROM (SELECT page_id, id, grp, unnest(range(gs, ge)) AS c FROM ({_GOLD_EVAL}) i) x LEFT
+  JOIN ({_PREDICTED}) p ON p.page_id = x.page_id AND p.start <= c AND c < p."end" LEFT JOIN {_GROUPS} ON lg.name = p.label
     GROUP BY x.page_id, x.id, c) y ON y.page_id = e.page_id AND y.id = e.id GROUP BY ALL"""
 _OUTCOMES = f"""SELECT page_id, id, label, round(cov, 6)::DOUBLE AS covered, round(cov_label, 6)::DOUBLE AS covered_label,
   CASE WHEN cov < coalesce(min_coverage, CASE WHEN label IN ({_NUMERIC}) THEN 0.85 ELSE 0.6 END) THEN 'miss' WHEN cov_label >= 0.5 THEN 'hit' ELSE 'hit_mislabel' END AS outcome FROM ({_SHARES}) s"""
@@ -499,14 +519,17 @@ def interval_coverage(spark, sf_dir):
     return evaluate.coverage(pairs, ["page_id", "id"]).withColumn("coverage", F.round("coverage", 6))
 
 
-@query(fixtures.duck(f"""SELECT coalesce(label, 'TOTAL') AS label, count(*) AS gold, count(*) FILTER (outcome = 'hit') AS hit, count(*) FILTER (outcome = 'hit_mislabel') AS hit_mislabel, count(*) FILTER (outcome = 'miss') AS miss,
-  round(count(*) FILTER (outcome = 'hit') / count(*)::DOUBLE, 4) AS recall_label, round(count(*) FILTER (outcome <> 'miss') / count(*)::DOUBLE, 4) AS recall_covered FROM ({_OUTCOMES}) o GROUP BY ROLLUP (label)"""))
+@query(fixtures.duck(f"""SELECT coalesce(label, 'TOTAL') AS label, count(*) AS gold, count(*) FILTER (outcome = 'hit') AS hit, count(*) FILTER (outcome = 'hit_mislabel') AS hit_mislabel,
+  count(*) FILTER (outcome = 'miss') AS miss,
+  round(count(*) FILTER (outcome = 'hit') / count(*)::DOUBLE, 4) AS recall_label, round(count(*) FILTER (outcome <> 'miss') / count(*)::DOUBLE, 4) AS recall_covered
+  FROM ({_OUTCOMES}) o GROUP BY ROLLUP (label)"""))
 def recall_by_label(spark, sf_dir):
     return evaluate.recall(evaluate.span_outcomes(*gold_and_predicted(spark, sf_dir), ["page_id"]))
 
 
 _FALSE = f"""SELECT page_id, label, start, "end", round(cov, 6)::DOUBLE AS coverage FROM (SELECT x.page_id, x.label, x.start, x."end", avg(on_gold::INT) AS cov FROM (
-    SELECT p.page_id, p.label, p.start, p."end", c, bool_or(e.gs IS NOT NULL) AS on_gold FROM (SELECT *, unnest(range(start, "end")) AS c FROM ({_PREDICTED}) q) p LEFT JOIN ({_GOLD_EVAL}) e ON e.page_id = p.page_id AND gs <= c AND c < ge
+    SELECT p.page_id, p.label, p.start, p."end", c, bool_or(e.gs IS NOT NULL) AS on_gold FROM (SELECT *, unnest(range(start, "end")) AS c FROM ({_PREDICTED}) q) p
+  LEFT JOIN ({_GOLD_EVAL}) e ON e.page_id = p.page_id AND gs <= c AND c < ge
     GROUP BY p.page_id, p.label, p.start, p."end", c) x GROUP BY ALL) y WHERE cov < 0.3"""
 
 
@@ -523,11 +546,14 @@ def false_positives_by_label(spark, sf_dir):
 # Gold rectangles of ten by ten and boxes over them; SQL counts the whole pixels.
 _RECTS = "SELECT note_id, CAST(0 AS DOUBLE) AS gx0, CAST(0 AS DOUBLE) AS gy0, CAST(10 AS DOUBLE) AS gx1, CAST(10 AS DOUBLE) AS gy1, CASE WHEN note_id % 2 = 0 THEN 'redact' ELSE 'review' END AS expect FROM vals"
 _OVER = " UNION ALL ".join(f"SELECT note_id, CAST({a} AS DOUBLE) AS x0, CAST({b} AS DOUBLE) AS y0, CAST({c} AS DOUBLE) AS x1, CAST({d} AS DOUBLE) AS y1 FROM vals WHERE note_id % 5 <> 4" for a, b, c, d in (("note_id % 7", "-3", "note_id % 7 + 5", "note_id % 11"), ("-2", "note_id % 6", "note_id % 9", "12"), ("3", "note_id % 4 + 1", "8", "note_id % 4 + 4")))
-_PIXELS = f"""SELECT r.note_id, r.expect, avg(hit::INT) AS cov FROM ({_RECTS}) r JOIN (SELECT p.note_id, x, y, bool_or(b.x0 IS NOT NULL) AS hit FROM (SELECT note_id, unnest(range(100)) // 10 AS x, unnest(range(100)) % 10 AS y FROM vals) p
-    LEFT JOIN ({_OVER}) b ON b.note_id = p.note_id AND b.x0 <= x AND x < b.x1 AND b.y0 <= y AND y < b.y1 GROUP BY p.note_id, x, y) h ON h.note_id = r.note_id GROUP BY ALL"""
+_PIXELS = f"""SELECT r.note_id, r.expect, avg(hit::INT) AS cov FROM ({_RECTS}) r JOIN (SELECT p.note_id, x, y, bool_or(b.x0 IS NOT NULL) AS hit
+  FROM (SELECT note_id, unnest(range(100)) // 10 AS x, unnest(range(100)) % 10 AS y FROM vals) p
+    LEFT JOIN ({_OVER}) b ON b.note_id = p.note_id AND b.x0 <= x AND x < b.x1 AND b.y0 <= y AND y < b.y1 GROUP BY p.note_id, x, y) h ON h.note_id = r.note_id
+  GROUP BY ALL"""
 
 
-@query(fixtures.duck(f"SELECT note_id, expect, round(cov, 6)::DOUBLE AS coverage, CASE WHEN cov >= CASE expect WHEN 'redact' THEN 0.8 ELSE 0.3 END THEN 'hit' ELSE 'miss' END AS outcome FROM ({_PIXELS}) c"))
+@query(fixtures.duck(f"""SELECT note_id, expect, round(cov, 6)::DOUBLE AS coverage, CASE WHEN cov >= CASE expect WHEN 'redact' THEN 0.8 ELSE 0.3 END THEN 'hit' ELSE 'miss' END AS outcome
+  FROM ({_PIXELS}) c"""))
 def region_coverage(spark, sf_dir):
     rects = fixtures.sql_over_keys(spark, sf_dir, _RECTS)
     pairs = rects.join(fixtures.sql_over_keys(spark, sf_dir, _OVER), "note_id", "left")
@@ -535,7 +561,9 @@ def region_coverage(spark, sf_dir):
     return out.select("note_id", "expect", F.round("coverage", 6).alias("coverage"), "outcome")
 
 
-@query(fixtures.duck("SELECT CAST(note_id AS STRING) AS key, CASE WHEN note_id % 4 = 0 THEN 'hit' ELSE 'miss' END AS old, CASE WHEN note_id % 4 = 0 THEN 'miss' ELSE 'hit_mislabel' END AS new, CASE WHEN note_id % 4 = 0 THEN 'regression' ELSE 'fixed' END AS change FROM vals WHERE note_id % 4 IN (0, 1) AND note_id % 3 > 0"))
+@query(fixtures.duck("""SELECT CAST(note_id AS STRING) AS key, CASE WHEN note_id % 4 = 0 THEN 'hit' ELSE 'miss' END AS old,
+  CASE WHEN note_id % 4 = 0 THEN 'miss' ELSE 'hit_mislabel' END AS new, CASE WHEN note_id % 4 = 0 THEN 'regression' ELSE 'fixed' END AS change FROM vals
+  WHERE note_id % 4 IN (0, 1) AND note_id % 3 > 0"""))
 def baseline_delta(spark, sf_dir):
     base = "SELECT CAST(note_id AS STRING) AS key, {} AS outcome FROM vals WHERE note_id % 3 {}"
     old = fixtures.sql_over_keys(spark, sf_dir, base.format("CASE WHEN note_id % 4 = 1 THEN 'miss' ELSE 'hit' END", "> 0"))
@@ -553,8 +581,10 @@ def fuzzy_digits(spark, sf_dir):
 _PAGES = "SELECT doc_id, CAST(600 + doc_id % 900 AS INT) AS width, CAST(900 AS INT) AS height, text AS txt, (doc_id % 100) / 100.0 AS confidence FROM documents"
 
 
-@query(f"""WITH p AS ({_PAGES}), q AS (SELECT doc_id, length(regexp_replace(txt, '\\s', '', 'g')) AS chars, round(confidence::DOUBLE, 2) AS confidence, least(width, height) AS min_side FROM p)
-SELECT doc_id, chars, confidence, min_side, concat_ws(',', CASE WHEN min_side < 800 THEN 'small' END, CASE WHEN chars < 20 THEN 'little_text' WHEN confidence < 0.65 THEN 'low_confidence' END) AS reasons FROM q""")
+@query(f"""WITH p AS ({_PAGES}), q AS (SELECT doc_id, length(regexp_replace(txt, '\\s', '', 'g')) AS chars,
+  round(confidence::DOUBLE, 2) AS confidence, least(width, height) AS min_side FROM p)
+SELECT doc_id, chars, confidence, min_side, concat_ws(',', CASE WHEN min_side < 800 THEN 'small' END,
+  CASE WHEN chars < 20 THEN 'little_text' WHEN confidence < 0.65 THEN 'low_confidence' END) AS reasons FROM q""")
 def quality_gate(spark, sf_dir):
     read(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     pages = spark.sql(_PAGES).withColumn("confidence", F.col("confidence").cast("double"))
@@ -597,13 +627,16 @@ def label_remap(spark, sf_dir):
     return raw.select("raw", labels.remap(F.col("raw")).alias("label"))
 
 
-@query("SELECT c_custkey, CASE WHEN length(w) <= 4 THEN repeat('*', length(w)) ELSE left(w, 2) || repeat('*', length(w) - 4) || right(w, 2) END AS masked FROM (SELECT c_custkey, substr(c_name, 1, (c_custkey % 18 + 1)::BIGINT) AS w FROM customer)")
+@query("""SELECT c_custkey, CASE WHEN length(w) <= 4 THEN repeat('*', length(w)) ELSE left(w, 2) || repeat('*', length(w) - 4) || right(w, 2) END AS masked
+  FROM (SELECT c_custkey, substr(c_name, 1, (c_custkey % 18 + 1)::BIGINT) AS w FROM customer)""")
 def mask_text(spark, sf_dir):
     w = read(spark, sf_dir, "customer").select("c_custkey", F.substring("c_name", F.lit(1), (F.col("c_custkey") % 18 + 1).cast("int")).alias("w"))
     return w.select("c_custkey", tx.mask(F.col("w")).alias("masked"))
 
 
-@query("SELECT conv_id, CASE WHEN count(*) = 1 THEN max(text) ELSE string_agg('--- página ' || (i + 1) || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY i, text) END AS text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i FROM conversations) GROUP BY conv_id")
+@query("""SELECT conv_id, CASE WHEN count(*) = 1 THEN max(text) ELSE string_agg('--- página ' || (i + 1) || ' ---' || chr(10) || text, chr(10) || chr(10)
+  ORDER BY i, text) END AS text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i FROM conversations)
+  GROUP BY conv_id""")
 def join_pages(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -612,7 +645,8 @@ def join_pages(spark, sf_dir):
     return batch.join_pages(pages, "conv_id")
 
 
-@query(fixtures.duck("SELECT note_id, email AS value, 'EMAIL' AS label, true AS located FROM vals UNION ALL SELECT note_id, person AS value, 'ID' AS label, true AS located FROM vals UNION ALL SELECT note_id, 'nada disso' AS value, 'ID' AS label, false AS located FROM vals"))
+@query(fixtures.duck("""SELECT note_id, email AS value, 'EMAIL' AS label, true AS located FROM vals UNION ALL SELECT note_id, person AS value, 'ID' AS label, true AS located FROM vals
+  UNION ALL SELECT note_id, 'nada disso' AS value, 'ID' AS label, false AS located FROM vals"""))
 def suggestions(spark, sf_dir):
     rows = fixtures.sql_over_keys(spark, sf_dir, "SELECT note_id, email AS value, 'email' AS label FROM vals UNION ALL SELECT note_id, replace(person, ' ', '  ') AS value, 'something' AS label FROM vals UNION ALL SELECT note_id, 'nada disso' AS value, 'x' AS label FROM vals UNION ALL SELECT note_id, 'a' AS value, 'x' AS label FROM vals")
     out = seams.suggested(fixtures.notes(spark, sf_dir), rows, "note_id")

@@ -30,6 +30,8 @@ def test_evaluate(spark, tmp_path, capsys):
     assert cli.main([*args, "--save-baseline", str(tmp_path / "base")], spark) == 0
     assert "TOTAL" in capsys.readouterr().out
     assert cli.main([*args, "--baseline", str(tmp_path / "base")], spark) == 0
-    (tmp_path / "old.json").write_text(json.dumps({"outcomes": {"a#p0#s2": "hit"}}))
+    assert capsys.readouterr().err == "" and cli.main([*args, "--baseline", str(tmp_path / "absent")], spark) == 0
+    (tmp_path / "old.json").write_text(json.dumps({"outcomes": {"a#p0#s2": "hit"}, "corpus_hash": "x"}, indent=1))
     assert cli.main([*args, "--baseline", str(tmp_path / "old.json")], spark) == 1
-    assert "regression a#p0#s2" in capsys.readouterr().out
+    said = capsys.readouterr()
+    assert "regression a#p0#s2" in said.out and "another corpus" in said.err

@@ -8,8 +8,8 @@ row is indexed. Search: the inner product of a query with a vector is estimated
 vector's bits divided by the correction scalar; its error is at most ``epsilon`` times
 ``sqrt((1 - c^2) / c^2 / (D - 1))``, where epsilon is the quantile of such errors over
 pairs of sampled rows that leaves out a share of ``miss``. Queries go out in blocks of
-bounded size, one block after the other. A first scan of the codes finds the k best
-estimates of each query; their exact distances bound the k-th nearest from above. A second
+bounded size, one block after the other. A first scan of the codes finds the best
+estimates of each query, ``ROUGH`` times k; the k-th least of their exact distances bounds the k-th nearest from above. A second
 scan lists the vectors whose lower bound is not above that; only these are fetched, by a
 join, and compared exactly. Both scans read the codes without the vectors.
 
@@ -35,6 +35,8 @@ from spanveil.llm.scratch import discard, keep
 SAMPLE, BLOCK_QUERIES, SEED = 4096, 16_384, 11
 #: Code bits a dimension; share of vectors whose distance may lie below its bound.
 WIDEN, MISS = 4, 0.005
+#: The first scan keeps so many times k estimates of each query, the k nearest of which bound the search.
+ROUGH = 4
 #: Epsilon where fewer than two rows are sampled; sampled rows that stand in as queries.
 EPSILON, TRIALS = 4.0, 256
 #: Queries whose estimates are made at once, pairs that are compared exactly at once.
@@ -225,9 +227,10 @@ def nearest(
         ids, vecs = np.array([r[0] for r in rows], np.int64), np.array([np.frombuffer(r[1], np.float64) for r in rows])
         norm, unit = turned(vecs, centre, turn)
         shared = spark.sparkContext.broadcast((ids, unit.astype(np.float32), norm, vecs))
-        found = codes.mapInArrow(_rough(shared, turn, k), "q long, row long, guess double").withColumn("r", F.row_number().over(by_query.orderBy("guess", "row"))).where(F.col("r") <= k)
+        found = codes.mapInArrow(_rough(shared, turn, ROUGH * k), "q long, row long, guess double").withColumn("r", F.row_number().over(by_query.orderBy("guess", "row"))).where(F.col("r") <= ROUGH * k)
         rough = points.join(found.select("row", F.array(F.col("q").cast("int")).alias("qs")), "row").select("id", "vec", "qs")
-        bound = rough.mapInArrow(_exact(shared, k), "q long, id long, score double").groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most")).where(F.col("n") >= k).collect()
+        nearest_k = rough.mapInArrow(_exact(shared, k), "q long, id long, score double").withColumn("r", F.row_number().over(by_query.orderBy("score", "id"))).where(F.col("r") <= k)
+        bound = nearest_k.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most")).where(F.col("n") >= k).collect()
         most = np.full(len(ids), np.inf)
         most[[r.q for r in bound]] = np.array([r.most for r in bound]) ** 2
         reach = spark.sparkContext.broadcast(most)

@@ -407,11 +407,18 @@ class Join:
         return keep(self.text.join(_small(ids), "doc", "left_semi").mapInArrow(run, "id long, wide binary"), "parity-wide")
 
     def across(self, labels: DataFrame, large_only: bool) -> DataFrame:
-        """Pairs in different components that share a word and may link; see _joining. A large group is cut into blocks by hash, a cell for each pair of blocks."""
+        """Pairs in different components that share a word and may link; see _joining.
+
+        Of a large group, the members outside its largest component meet all others, in
+        cells of bounded size: both sides are cut into blocks by hash, a cell for each pair
+        of blocks. The largest component's members do not meet each other, so a group with
+        few others costs little more than its size.
+        """
         rows = self.words.where(F.col("f") > MANY) if large_only else self.words
         rows = keep(rows.select("key", "id", "f").join(labels, "id"), "parity-labelled")
-        open_ = keep(rows.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("key"), "parity-open")
-        still = keep(rows.join(_small(open_), "key", "left_semi"), "parity-still")
+        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps"))
+        open_ = keep(sizes.where("comps > 1").select("key", F.col("m.comp").alias("major"), F.col("m.c").alias("inside"), (F.col("all") - F.col("m.c")).alias("outside")), "parity-open")
+        still = keep(rows.join(_small(open_), "key"), "parity-still")
         discard(rows)
         discard(open_)
         ids = keep(still.select(F.col("id").alias("doc")).distinct(), "parity-ids")
@@ -421,9 +428,15 @@ class Join:
         else:
             info = info.withColumn("wide", F.lit(None).cast("binary"))
         info = keep(info, "parity-info")
-        blocks = F.when(F.col("f") > MANY, F.ceil(F.col("f") / CELL)).otherwise(1).cast("int")
-        cells = still.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "id", "comp")
+        large = F.col("f") > MANY
+        inner, outer = (F.when(large, F.ceil(F.col(c) / CELL)).otherwise(1).cast("int") for c in ("inside", "outside"))
+        is_major, upto = F.col("comp") == F.col("major"), lambda n: F.sequence(F.lit(0), n - 1)
+        mine = F.pmod(F.xxhash64("id"), F.when(is_major, inner).otherwise(outer)).cast("int")
+        cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+        met_all = F.transform(upto(inner), lambda j: cell(0, j, F.col("mine")))
+        met_each_other = F.transform(upto(outer), lambda j: cell(1, F.least(F.col("mine"), j), F.greatest(F.col("mine"), j)))
+        own = F.when(~large, F.array(cell(2, F.lit(0), F.lit(0)))).when(is_major, F.transform(upto(outer), lambda j: cell(0, F.col("mine"), j))).otherwise(F.concat(met_all, met_each_other))
+        cells = still.withColumn("mine", mine).withColumn("cell", F.explode(own)).select(F.xxhash64("key", "cell.kind", "cell.i", "cell.j").alias("group"), "id", "comp")
         size = F.octet_length("sketch") + F.coalesce(F.octet_length("wide"), F.lit(0)) + 32
         if (info.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
             met = cells.repartition("group").join(F.broadcast(info), "id")

@@ -185,7 +185,7 @@ def test_jaccard_join_of_repeated_and_null_ids(spark):
     assert got == sorted([("1", "None"), ("5", "None"), ("5", "None"), ("7", "None"), ("None", "None"), ("9", "9"), ("9", "9")])
 
 
-@pytest.mark.parametrize("small", [0, 1 << 40])
+@pytest.mark.parametrize("small", [0, 1 << 30])
 def test_jaccard_join_beyond_its_broadcasts(spark, texts, small, monkeypatch):
     want = {r.doc_id: r.component_id for r in parity_join.join_components(documents(spark, texts), 4, 85).collect()}
     monkeypatch.setattr(parity_join, "SMALL", small)
@@ -196,7 +196,7 @@ def test_jaccard_join_beyond_its_broadcasts(spark, texts, small, monkeypatch):
 
 def test_very_long_text(spark):
     """A text of about 100 MB next to a copy of a part of it."""
-    some = lambda n: F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), ((i * 7919) % 1_000_003).cast("string"), F.lit("x"))))
+    some = lambda n: F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), ((i.cast("long") * 7919) % 1_000_003).cast("string"), F.lit("x"))))
     text = F.repeat(F.concat(some(1_000_003), F.lit(" ")), 11)
     docs = spark.range(1).select(F.lit(1).alias("doc_id"), text.alias("text")).unionByName(spark.range(1).select(F.lit(2).alias("doc_id"), some(1000).alias("text")))
     docs = keep(docs, "test-long")
@@ -346,8 +346,8 @@ def test_warc_does_not_depend_on_splits(spark, monkeypatch):
     rows = [(i, "u", "plain " * (i % 40) if i % 3 else fake * (1 + i % 5) + str(i)) for i in range(200)]
     before, sizes = spark.conf.get("spark.sql.files.maxPartitionBytes"), [3000, 500, 100_000, 1700]
 
-    def keep_and_change(df, tag, keep=warc.keep):
-        out = keep(df, tag)
+    def keep_and_change(df, *tag, keep=warc.keep):
+        out = keep(df, *tag)
         sizes.append(sizes.pop(0))
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(sizes[0]))
         return out

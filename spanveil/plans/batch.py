@@ -42,13 +42,16 @@ def windows(texts: DataFrame, text: str = "text", config: EngineConfig = EngineC
 
 
 def redact_long(texts: DataFrame, key: str, text: str = "text", config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Texts of any length by windows: key, n_spans, redacted."""
-    found = detect(windows(texts.select(key, text), text, config), "chunk", config=config)
-    flat = found.select(key, "window_start", F.explode("spans").alias("s")).select(key, (F.col("s.start") + F.col("window_start")).alias("start"), (F.col("s.end") + F.col("window_start")).alias("end"), "s.label")
-    merged = union_windows(flat.distinct(), [key])
-    spans = merged.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
+    """Texts of any length by windows: key, n_spans, redacted. Spans belong to a text: rows that share a key or have none get their own."""
+    base = texts.select(key, text, F.sha2(F.encode(F.col(text), "UTF-8"), 256).alias("_of"))
+    by = [key, "_of"]
+    found = detect(windows(base, text, config), "chunk", config=config)
+    flat = found.select(*by, "window_start", F.explode("spans").alias("s")).select(*by, (F.col("s.start") + F.col("window_start")).alias("start"), (F.col("s.end") + F.col("window_start")).alias("end"), "s.label")
+    merged = union_windows(flat.distinct(), by)
+    spans = merged.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
+    spans = spans.withColumnsRenamed({key: "_key", "_of": "_text"})
     none = F.array().cast("array<struct<start:int,end:int,label:string>>")
-    out = texts.select(key, text).join(spans, key, "left").withColumn("spans", F.coalesce("spans", none))
+    out = base.join(spans, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_text")), "left").withColumn("spans", F.coalesce("spans", none))
     return out.select(key, F.size("spans").alias("n_spans"), redact(F.col(text), F.col("spans")).alias("redacted"))
 
 

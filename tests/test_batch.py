@@ -3,6 +3,7 @@ import io
 import json
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,16 @@ def test_redact_long_reads_all_documents(spark, tmp_path):
     assert [got[i].n_spans for i in texts] == [0, 2, 4, 0, 2, 4] and any(len(t) > 12_000 for t in real.values())
 
 
+def test_redact_long_of_repeated_and_null_ids_equals_its_sql(spark, tmp_path):
+    mail = "ana@mail.example.org"
+    rows = [(1, f"um {mail}"), (1, "outro texto sem nada"), (1, f"um {mail}"), (None, f"{mail} x"), (None, f"y {mail}"), (None, None), (2, f"{mail} {'z ' * 12_000} {mail}"), (2, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in queries.QUERIES["redact_long"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(repr, got)) == sorted(map(repr, con.sql(queries.ORACLE["redact_long"]).fetchall()))
+
+
 @pytest.mark.parametrize("text", ["", "abc", "a\n" * 4000, "x" * 2500, "ab\n" + "x" * 3000, "x" * 600 + "\n" + "y" * 900])
 def test_parts(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(batch.parts(F.col("t"), 1000).alias("p")).first().p

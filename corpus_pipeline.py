@@ -45,8 +45,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids."""
-    return packing.pack(docs, tokenizer_path(), end_id=2).withColumn("ids_crc32", F.crc32("ids"))
+    """Pieces of token sequences, with their ids; kept, as batches of ten thousand whole texts take too much of an executor's memory."""
+    return keep(packing.pack(docs, tokenizer_path(), end_id=2), "packed").withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixed", mixed), ("packed", packed)]

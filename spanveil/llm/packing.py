@@ -155,9 +155,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int
             if held >= pool_tokens:
                 yield rows(ready)
                 ready, held = [], 0
+                # Arrow else keeps what earlier batches took
+                pa.default_memory_pool().release_unused()
         ready.extend(packer.flush(last=True))
         if ready:
             yield rows(ready)
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(packed, SCHEMA).withColumnRenamed("doc_id", id_col)

@@ -31,6 +31,8 @@ MOST_CACHED, MOST_PARTS = 1_200_000, 1_200_000
 TAIL = b".,!?;:#$%&*|"
 #: Words of a run of documents that are looked up together.
 RUN_WORDS = 100_000
+#: Pieces that the library encodes at once: it takes about a KB for each until their values are read.
+MOST_AT_ONCE = 2048
 
 #: Longest piece that counts as frequent, in bytes.
 FREQUENT_BYTES = 64
@@ -103,8 +105,9 @@ class Pieces:
         if len(parts) + len(new) > MOST_PARTS:
             parts.clear()
             new = list(asked)
-        if new:
-            parts.update(zip(new, map(self.value, self.tok.encode_batch([p.decode() for p in new], add_special_tokens=False))))
+        for i in range(0, len(new), MOST_AT_ONCE):
+            some = new[i : i + MOST_AT_ONCE]
+            parts.update(zip(some, map(self.value, self.tok.encode_batch([p.decode() for p in some], add_special_tokens=False))))
         for w, cut in zip(missing, cuts):
             known[w] = parts[cut[0]] if len(cut) == 1 else parts[cut[0]] + parts[cut[1]]
         return known

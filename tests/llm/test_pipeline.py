@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from spanveil.llm import queries as q
+from spanveil.llm import tokens
 from spanveil.llm.scratch import keep
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +107,24 @@ def test_stages_of_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = keep(stage(spark, docs, SF), f"e-{name}")
         assert docs.count() == 0
+
+
+def test_packing_reads_texts_in_small_batches(spark):
+    docs = q.table(spark, SF, "documents").limit(20)
+    # the caller's write would take batches of the session's size
+    assert "MapInArrow" not in corpus_pipeline.packed(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_are_encoded_some_at_a_time():
+    tok, _ = tokens.tokenizer(q.tokenizer_path())
+    asked = []
+
+    class Counted:
+        def encode_batch(self, texts, **kw):
+            asked.append(len(texts))
+            return tok.encode_batch(texts, **kw)
+
+    words = [f"w{i}x.".encode() for i in range(5000)]
+    known = tokens.Pieces(Counted(), lambda e: tuple(e.ids)).learn([words])
+    assert max(asked) <= tokens.MOST_AT_ONCE < len(words)
+    assert all(known[w] == tuple(tok.encode(w.decode(), add_special_tokens=False).ids) for w in words)
